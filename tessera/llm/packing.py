@@ -7,8 +7,8 @@ tokens than a window, at a forced cut. Its cost is
 
     padding(window) + penalty(cut at its end) + window_cost
 
-with padding 0 for a power of two and ``window - length`` otherwise, and with a
-penalty of 0 at a document end. Apart from the twelve power-of-two lengths the
+with padding 0 for a power of two from ``LEAST_EXACT`` and ``window - length``
+otherwise, and with a penalty of 0 at a document end. Apart from those lengths the
 cost is ``f(i) + b(i)`` plus terms that depend on j only, so the best start of a
 window that ends at j is the minimum of a sliding range, kept in a monotone queue.
 
@@ -37,6 +37,8 @@ END_ID = 2
 SENTENCE_PENALTY = 8.0
 FORCED_PENALTY = 64.0
 WINDOW_COST = 4.0
+#: Windows of a smaller power of two are planned as if they were padded.
+LEAST_EXACT = 64
 #: Tokens planned together; bounds the memory of a task.
 STRETCH = 1 << 20
 
@@ -52,12 +54,13 @@ class _Words(dict):
     def __init__(self, model, limit: int) -> None:
         rest = [b for b in range(256) if b not in self.PRINTED]
         self.model, self.limit, self.letters = model, limit, {b: 256 + k for k, b in enumerate(rest)}
+        self.spelled = [n.to_bytes(4, "little") for n in range(1 << 16)]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        found = self[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
+        found = self[word] = b"".join([self.spelled[t.id] for t in self.model.tokenize(spelled)])
         return found
 
 
@@ -101,7 +104,7 @@ def plan_cuts(bounds: np.ndarray, penalty: np.ndarray, window: int = WINDOW, win
     """
     at, fee, n = bounds.tolist(), penalty.tolist(), len(bounds)
     exact: dict[int, list[int]] = {}
-    size = 1
+    size = LEAST_EXACT
     while size < window:
         start = np.searchsorted(bounds, bounds - size)
         for j in np.flatnonzero((bounds >= size) & (bounds[np.minimum(start, n - 1)] == bounds - size)).tolist():
