@@ -19,7 +19,6 @@ predicts ``und``; columns named as the results are replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 MAX_TRAIN = 10_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 200_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 100_000
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -39,18 +40,20 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_scores: np.ndarray
+    grams: dict[str, int]
+    gram_scores: np.ndarray
 
     def score(self, word: str) -> np.ndarray:
         """The word's logarithmic score in each language."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.word_scores[known]
         marked = f"^{word}$"
         for n in range(LONGEST, 0, -1):
             found = [g for k in range(len(marked) - n + 1) if (g := self.grams.get(marked[k : k + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_scores[found].mean(axis=0)
         return np.zeros(len(self.languages), dtype=np.float32)
 
 
@@ -62,35 +65,42 @@ def sampled(frame: DataFrame, id_col: str, most: int) -> DataFrame:
     return frame.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / count))
 
 
+def _cut(text: Column, size: int):
+    """A function of a place: the ``size`` letters of ``text`` from there."""
+    return lambda at: F.substring(text, at, F.lit(size))
+
+
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """A model from the rows with a text and a language."""
     rows = sampled(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), id_col, max_train)
     words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = rows.select(F.col(lang_col).cast("string").alias("lang"), words.alias("word")).groupBy("lang", "word").count().toPandas()
-    totals = counts.groupby("lang")["count"].sum().sort_values(ascending=False, kind="stable")
-    languages = [str(x) for x in totals.index]
-    place = {lang: k for k, lang in enumerate(languages)}
-    by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    by_gram: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(languages))) for _ in range(LONGEST)]
-    for lang, word, n in counts.sort_values(["lang", "word"]).itertuples(index=False):
-        by_word[word][place[lang]] += n
-        marked = f"^{word}$"
-        for size in range(1, LONGEST + 1):
-            for g, times in Counter(marked[k : k + size] for k in range(len(marked) - size + 1)).items():
-                by_gram[size - 1][g][place[lang]] += n * times
-
-    def table(found: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
-        if not found:
-            return {}
-        keys, hits = list(found), np.array(list(found.values()))
-        smooth = np.log((hits + 0.1) / (hits.sum(axis=0) + 0.1 * len(keys))).astype(np.float32)
-        often = np.argsort(-hits.sum(axis=1), kind="stable")[:most]
-        return {keys[k]: smooth[k] for k in often.tolist() if hits[k].sum() >= 3}
-
-    grams: dict[str, np.ndarray] = {}
-    for found in by_gram:
-        grams |= table(found, MAX_GRAMS // LONGEST)
-    return Model(languages, table(by_word, MAX_WORDS), grams)
+    counts = cut_lineage(rows.select(F.col(lang_col).cast("string").alias("lang"), words.alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")))
+    totals = sorted(counts.groupBy("lang").agg(F.sum("n").alias("n")).collect(), key=lambda r: (-r["n"], r["lang"]))
+    languages = [r["lang"] for r in totals]
+
+    def table(counted: DataFrame, most: int) -> tuple[dict[str, int], np.ndarray]:
+        """The most frequent keys and their smoothed logarithmic frequencies; sums and size are those of all keys."""
+        sums = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
+        wide = counted.groupBy("key").agg(F.sum("n").alias("all"), *sums)
+        whole = wide.agg(F.count("*"), *(F.sum(f"n{k}") for k in range(len(languages)))).first()
+        often = wide.where("all >= 3").orderBy(F.desc("all"), "key").limit(most).drop("all").toPandas()
+        hits = often.drop(columns="key").to_numpy(dtype=np.float64)
+        scores = np.log((hits + 0.1) / (np.array([x or 0 for x in whole[1:]], dtype=np.float64) + 0.1 * whole[0])) if len(often) else hits
+        return {key: k for k, key in enumerate(often["key"])}, scores.astype(np.float32)
+
+    if not languages:
+        return Model([], {}, np.zeros((0, 0), dtype=np.float32), {}, np.zeros((0, 0), dtype=np.float32))
+    grams: dict[str, int] = {}
+    scores = []
+    marked = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
+    for size in range(1, LONGEST + 1):
+        places = F.sequence(F.lit(1), F.length(marked) - (size - 1))
+        pieces = counts.where(F.length(marked) >= size).select("lang", "n", F.explode(F.transform(places, _cut(marked, size))).alias("key"))
+        found, known = table(pieces, MAX_GRAMS // LONGEST)
+        grams |= {g: len(grams) + k for g, k in found.items()}
+        scores.append(known)
+    word_places, word_scores = table(counts, MAX_WORDS)
+    return Model(languages, word_places, word_scores, grams, np.concatenate(scores))
 
 
 class Scorer:
