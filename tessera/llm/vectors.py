@@ -3,9 +3,11 @@
 Coarse centroids and the codebooks of the residuals are fitted by k-means on at most
 about ``MAX_TRAIN`` vectors, chosen by a hash of the id. Every vector is indexed: its
 nearest centroid's list, its residual's codes, and the vector itself for reranking.
-A query probes its nearest lists, ranks their members by asymmetric distance tables
-(the query stays exact, the members are codes), and the best ``RERANK`` different
-vectors are measured exactly, in double precision.
+A query probes its nearest lists, ranks each one's members by asymmetric distance
+tables (the query stays exact, the members are codes), and the best ``RERANK``
+different vectors of each are measured exactly, in double precision. How many lists
+are probed is measured on the sample: so many that ``TARGET`` of the true neighbours
+of some of its vectors, found there by brute force, lie in probed lists.
 
 A list is dealt out to as many groups as its size asks for and its queries come in
 chunks, so no task holds more than ``GROUP_ROWS`` members and ``GROUP_QUERIES``
@@ -36,7 +38,10 @@ MAX_TRAIN = 20_000
 MOST_LISTS = 4096
 PARTS = 16
 CODES = 256
-RERANK = 200
+RERANK = 64
+#: The share of the sample's true neighbours whose lists are to be probed, and the sample's queries it is measured on.
+TARGET = 0.97
+CALIBRATION = 300
 GROUP_ROWS = 20_000
 GROUP_QUERIES = 4096
 HITS = "query_id long, vec_id long, score double"
@@ -54,6 +59,7 @@ class Quantiser:
     books: np.ndarray  # parts x codes x width
     width: int
     dimensions: int
+    probes: int = 1
 
     def _split(self, residuals: np.ndarray) -> np.ndarray:
         parts, width = len(self.books), self.width
@@ -90,7 +96,20 @@ def _k_means(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8
     return centres
 
 
-def fit(vectors: DataFrame, count: int, *, id_col: str, vector_col: str, max_train: int = MAX_TRAIN, seed: int = 3) -> Quantiser | None:
+def _probes(train: np.ndarray, centroids: np.ndarray, k: int, rng: np.random.Generator) -> int:
+    """How many of the nearest lists hold ``TARGET`` of the k true neighbours within the sample."""
+    lists = np.argmin(_distances(train, centroids), axis=1)
+    deep = []
+    for row in np.sort(rng.choice(len(train), min(len(train), CALIBRATION), replace=False)).tolist():
+        near = ((train - train[row]) ** 2).sum(axis=1)
+        near[row] = np.inf
+        best = np.argsort(near, kind="stable")[: min(k, len(train) - 1)]
+        place = np.argsort(np.argsort(_distances(train[row][None], centroids)[0], kind="stable"))
+        deep += place[lists[best]].tolist()
+    return int(np.quantile(deep, TARGET, method="higher")) + 1 if deep else len(centroids)
+
+
+def fit(vectors: DataFrame, count: int, k: int, *, id_col: str, vector_col: str, max_train: int = MAX_TRAIN, seed: int = 3) -> Quantiser | None:
     """Centroids and codebooks; None without a usable vector."""
     rows = sampled(vectors, id_col, max_train).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).toPandas()
     if rows.empty:
@@ -100,24 +119,25 @@ def fit(vectors: DataFrame, count: int, *, id_col: str, vector_col: str, max_tra
     rows = rows[lengths == dimensions].sort_values("id", kind="stable")
     train = np.stack(rows["v"].to_numpy()).astype(np.float64)
     rng = np.random.default_rng(seed)
-    centroids = _k_means(train, int(np.clip(round(1.5 * np.sqrt(count)), 1, MOST_LISTS)), rng)
+    centroids = _k_means(train, int(np.clip(round(np.sqrt(count)), 1, MOST_LISTS)), rng)
     width = -(-dimensions // min(PARTS, dimensions))
     parts = -(-dimensions // width)
     quantiser = Quantiser(centroids, np.zeros((parts, 1, width)), width, dimensions)
     split = quantiser._split(train - centroids[quantiser.nearest(train)])[:: max(1, len(train) // 8000)]
     books = [_k_means(split[:, p], CODES, rng, rounds=5) for p in range(parts)]
     most = max(map(len, books))
+    quantiser.probes = _probes(train, centroids, k, rng)
     quantiser.books = np.stack([np.concatenate((b, np.repeat(b[:1], most - len(b), axis=0))) for b in books])
     return quantiser
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 10, probe_share: float = 0.2, least_probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, k: int = 10, least_probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row of ``vectors`` for which ``queries`` holds."""
     spark = vectors.sparkSession
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
     good = named.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
     count = good.count()
-    quantiser = fit(good, count, id_col="vec_id", vector_col="embedding")
+    quantiser = fit(good, count, k, id_col="vec_id", vector_col="embedding")
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(quantiser)
@@ -138,7 +158,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, probe_share: flo
     index = cut_lineage(good.select("vec_id", "embedding").mapInArrow(encode, "list int, vec_id long, codes binary, embedding array<double>"))
     sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most MOST_LISTS rows
     counts = np.array([sizes.get(n, 0) for n in range(len(quantiser.centroids))])
-    probes = max(least_probes, int(np.ceil(probe_share * len(counts))))
+    probes = max(least_probes, quantiser.probes)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
