@@ -4,21 +4,58 @@ Each round, every node points at the node of its neighbourhood that a round's ha
 puts first (itself included), and the edges are rewritten to the nodes pointed at.
 In expectation the nodes with edges shrink by a constant factor, whatever the shape
 of the graph, so a chain of a million links takes about as many rounds as a star.
-The pointers of the rounds are composed from the last to the first. Minima are
+Before a round, each partition replaces its edges, some at a time, by a spanning forest
+of stars; that shortens long chains without a shuffle. The pointers of the rounds are composed from the last to the first. Minima are
 combined before the shuffle and the rewriting is by plain joins, which adaptive
 execution splits where one node has a large share of all edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
 
+#: Edges that a task holds at once.
+HELD = 200_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every ``HELD`` edges, a star for each of their components."""
+    parent: dict = {}
+    count, kind = 0, None
+
+    def find(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def flush() -> pa.RecordBatch:
+        pairs = [(find(x), x) for x in parent]
+        kept = [(a, b) if a < b else (b, a) for a, b in pairs if a != b]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], kind), pa.array([b for _, b in kept], kind)], names=["u", "v"])
+
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        count += batch.num_rows
+        if count >= HELD:
+            yield flush()
+            parent.clear()
+            count = 0
+    if parent:
+        yield flush()
+
+
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """``node, root`` for every node of an edge that joins two nodes; equal roots mean connected.
 
@@ -27,7 +64,7 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     """
     a, b = F.col(left), F.col(right)
     now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-    now = cut_lineage(now)
+    now = cut_lineage(now.mapInArrow(_stars, now.schema))
     rounds: list[DataFrame] = []
     while not now.isEmpty():
         seed = F.lit(len(rounds))
@@ -39,7 +76,8 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         of_u = pointers.select(F.col("node").alias("u"), F.col("root").alias("new_u"))
         of_v = pointers.select(F.col("node").alias("v"), F.col("root").alias("new_v"))
         moved = now.join(of_u, "u").join(of_v, "v")
-        now = cut_lineage(moved.select(F.least("new_u", "new_v").alias("u"), F.greatest("new_u", "new_v").alias("v")).where("u <> v").distinct())
+        moved = moved.select(F.least("new_u", "new_v").alias("u"), F.greatest("new_u", "new_v").alias("v")).where("u <> v").distinct()
+        now = cut_lineage(moved.mapInArrow(_stars, moved.schema))
 
     def compose(later: DataFrame, earlier: DataFrame) -> DataFrame:
         onward = later.select(F.col("node").alias("__root"), F.col("root").alias("__onward"))

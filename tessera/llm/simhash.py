@@ -214,11 +214,12 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
 
     # first the nearest partner of each text; then the pairs that would still join two groups
     nearest = near.groupBy("id").agg(F.min_by("partner", F.col("apart") * F.lit(1 << 40) + F.pmod(F.xxhash64("partner"), F.lit(1 << 40))).alias("partner"))
-    found = verified(cut_lineage(nearest))
+    nearest = cut_lineage(nearest)
+    found = verified(nearest)
     roots = cut_lineage(components(found))
     of_id = roots.select(F.col("node").alias("id"), F.col("root").alias("root_id"))
     of_partner = roots.select(F.col("node").alias("partner"), F.col("root").alias("root_partner"))
-    rest = near.join(cut_lineage(nearest).withColumn("tried", F.lit(True)), ["id", "partner"], "left").where("tried is null")
+    rest = near.join(nearest.withColumn("tried", F.lit(True)), ["id", "partner"], "left").where("tried is null")
     rest = rest.join(of_id, "id", "left").join(of_partner, "partner", "left").select(F.coalesce("root_id", "id").alias("a"), F.coalesce("root_partner", "partner").alias("b"), "id", "partner").where("a <> b")
     more = verified(cut_lineage(rest.select("id", "partner").distinct()))
     roots = components(found.unionAll(more))
