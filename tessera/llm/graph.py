@@ -1,8 +1,9 @@
 """Connected components by randomised contraction.
 
-Each round, every node points at the node of its neighbourhood that a round's hash
-puts first (itself included), and the edges are rewritten to the nodes pointed at.
-In expectation the nodes with edges shrink by a constant factor, whatever the shape
+Each round, every node points at the node of its neighbourhood that comes first
+(itself included), and the edges are rewritten to the nodes pointed at. First is, by
+turns, the smallest node and the one with the smallest hash of that round: with the
+hash, the nodes with edges shrink in expectation by a constant factor, whatever the shape
 of the graph, so a chain of a million links takes about as many rounds as a star.
 Before a round, each partition replaces its edges, some at a time, by a spanning forest
 of stars; that shortens long chains without a shuffle. The pointers of the rounds are composed from the last to the first. Minima are
@@ -67,10 +68,14 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     now = cut_lineage(now.mapInArrow(_stars, now.schema))
     rounds: list[DataFrame] = []
     while not now.isEmpty():
-        seed = F.lit(len(rounds))
         ends = now.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(now.select(F.col("v"), F.col("u")))
-        first = ends.groupBy("node").agg(F.min_by("other", F.xxhash64("other", seed)).alias("other"))
-        other = F.when(F.xxhash64("node", seed) <= F.xxhash64("other", seed), F.col("node")).otherwise(F.col("other"))
+        if len(rounds) % 2:
+            seed = F.lit(len(rounds))
+            first = ends.groupBy("node").agg(F.min_by("other", F.xxhash64("other", seed)).alias("other"))
+            other = F.when(F.xxhash64("node", seed) <= F.xxhash64("other", seed), F.col("node")).otherwise(F.col("other"))
+        else:  # stars around their smallest node, as partitions leave them, are done at once
+            first = ends.groupBy("node").agg(F.min("other").alias("other"))
+            other = F.least("node", "other")
         pointers = cut_lineage(first.select("node", other.alias("root")))
         rounds.append(pointers)
         of_u = pointers.select(F.col("node").alias("u"), F.col("root").alias("new_u"))
