@@ -43,6 +43,8 @@ SEED = 42
 SEGMENTS = 4
 #: Of 32 * SEGMENTS bits: about twice what copies of similarity 0.8 show.
 FAR_BITS = 28
+#: Ids and pairs up to this number (24 bytes each) are broadcast to pick their texts; beyond it the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at once; bounds a task's memory for very long texts.
 CHUNK = 1 << 16
 
@@ -207,8 +209,9 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar enough, by their whole texts."""
-        left = source.join(pairs, "id").select("id", "partner", F.col("text").alias("own_text"))
-        right = source.join(pairs.select(F.col("partner").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("partner"), F.col("text").alias("their_text"))
+        small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda frame: frame
+        left = source.join(small(pairs), "id").select("id", "partner", F.col("text").alias("own_text"))
+        right = source.join(small(pairs.select(F.col("partner").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("partner"), F.col("text").alias("their_text"))
         both = left.join(right, "partner")
         return cut_lineage(both.select("id", "partner", _similarity(shingle)("their_text", "own_text").alias("jaccard")).where(F.col("jaccard") >= similarity).select(F.col("id").alias("u"), F.col("partner").alias("v")))
 
