@@ -5,8 +5,9 @@ Each round, every node points at the node of its neighbourhood that comes first
 turns, the smallest node and the one with the smallest hash of that round: with the
 hash, the nodes with edges shrink in expectation by a constant factor, whatever the shape
 of the graph, so a chain of a million links takes about as many rounds as a star.
-Before a round, each partition replaces its edges, some at a time, by a spanning forest
-of stars; that shortens long chains without a shuffle. The pointers of the rounds are composed from the last to the first. Minima are
+Before a round, tasks of at most ``HELD`` edges each replace them by a spanning forest
+of stars; that shortens long chains without a shuffle, and a graph that fits one task
+is done. The pointers of the rounds are composed from the last to the first. Minima are
 combined before the shuffle and the rewriting is by plain joins, which adaptive
 execution splits where one node has a large share of all edges.
 """
@@ -65,9 +66,13 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     """
     a, b = F.col(left), F.col(right)
     now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-    now = cut_lineage(now.mapInArrow(_stars, now.schema))
+    now = cut_lineage(now)
     rounds: list[DataFrame] = []
-    while not now.isEmpty():
+    while count := now.count():
+        now = cut_lineage(now.coalesce(-(-count // HELD)).mapInArrow(_stars, now.schema))
+        if count <= HELD:
+            rounds.append(now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(now.select("u", "u").distinct()))
+            break
         ends = now.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(now.select(F.col("v"), F.col("u")))
         if len(rounds) % 2:
             seed = F.lit(len(rounds))
@@ -82,7 +87,7 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         of_v = pointers.select(F.col("node").alias("v"), F.col("root").alias("new_v"))
         moved = now.join(of_u, "u").join(of_v, "v")
         moved = moved.select(F.least("new_u", "new_v").alias("u"), F.greatest("new_u", "new_v").alias("v")).where("u <> v").distinct()
-        now = cut_lineage(moved.mapInArrow(_stars, moved.schema))
+        now = cut_lineage(moved)
 
     def compose(later: DataFrame, earlier: DataFrame) -> DataFrame:
         onward = later.select(F.col("node").alias("__root"), F.col("root").alias("__onward"))

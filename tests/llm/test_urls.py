@@ -1,4 +1,6 @@
-from tessera.llm import urls
+import pytest
+
+from tessera.llm import graph, urls
 from tessera.llm.graph import components
 
 
@@ -40,9 +42,12 @@ def test_many_rules_agree_with_few(spark, monkeypatch):
     assert few == sorted(map(tuple, urls.with_rule(frame, rules).select("host", "path", "rule", "action").collect()), key=str)
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("held", [200_000, 40])
+def test_components_against_union_find(spark, monkeypatch, held):
     import random
 
+    monkeypatch.setattr(graph, "HELD", held)
+
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(1, 200)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)] + [(None, 1), (5, 5)]
     parent: dict[int, int] = {}
