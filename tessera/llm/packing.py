@@ -133,8 +133,12 @@ def plan_cuts(bounds: np.ndarray, penalty: np.ndarray, window: int = WINDOW, win
     return cuts[::-1]
 
 
-def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a stretch may be cut and what a cut there costs."""
+def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a stretch may be cut and what a cut there costs.
+
+    The end of a stream may also be cut at multiples of ``LEAST_EXACT`` before its end,
+    so that its last tokens can go to windows of powers of two.
+    """
     places = np.union1d(np.flatnonzero(sentence_ends[ids]) + 1, doc_ends)
     places = np.concatenate(([0], places[places > 0]))
     steps = np.diff(places)
@@ -142,8 +146,11 @@ def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, wi
     forced = [np.arange(places[k] + window, places[k + 1], window) for k in wide]
     fees = np.full(len(places), SENTENCE_PENALTY)
     fees[np.isin(places, doc_ends)] = 0.0
+    if last:
+        forced.append(np.setdiff1d(len(ids) - LEAST_EXACT * np.arange(1, 2 * window // LEAST_EXACT), places))
     if forced:
         more = np.concatenate(forced)
+        more = np.setdiff1d(more[more > 0], places)
         places, fees = np.concatenate((places, more)), np.concatenate((fees, np.full(len(more), FORCED_PENALTY)))
         order = np.argsort(places, kind="stable")
         places, fees = places[order], fees[order]
@@ -164,7 +171,7 @@ def _pack_stream(batches: Iterator[pa.RecordBatch], path: str, window: int, end_
         nonlocal sequence, held
         ids = np.concatenate(parts)
         doc_ends = np.cumsum([len(p) for p in parts])
-        places, fees = _bounds(ids, doc_ends, ends, window)
+        places, fees = _bounds(ids, doc_ends, ends, window, last)
         cuts = places[plan_cuts(places, fees, window)]
         if not last:
             cuts = cuts[:-2] if len(cuts) > 3 else cuts
