@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import cut_lineage
 
 BLOCK_ROWS = 1 << 16
@@ -125,6 +126,7 @@ def search(vectors: DataFrame, asks: Column, *, k: int = 20, scale: float = 64.0
 
     ``asks`` is a condition on ``vec_id``.
     """
+    ship_package(vectors.sparkSession)
     rows = cut_lineage(quantised(vectors, scale, id_col, vector_col))
     counts = rows.select(F.count("*"), F.count(F.when(asks, 1))).first()
     blocks, chunks = max(1, -(-counts[0] // BLOCK_ROWS)), max(1, -(-counts[1] // BLOCK_QUERIES))

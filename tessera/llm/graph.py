@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import cut_lineage
 
 
@@ -64,6 +65,7 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     Edges with a null end and loops are ignored; repeated and reversed edges count once.
     Without edges the result has no rows. A root is one of the component's nodes.
     """
+    ship_package(edges.sparkSession)
     a, b = F.col(left), F.col(right)
     now = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
     now = cut_lineage(now)

@@ -25,9 +25,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _NAMES = lambda text: frozenset(text.split())
 BLOCK_TAGS = _NAMES(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul iframe noscript object template"
@@ -260,6 +262,8 @@ def main_blocks(page: str | None) -> list[str]:
 def main_text(column: Column) -> Column:
     """The main text of a column of pages, blocks joined by a line feed; empty where there is none."""
 
+    ship_package(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import cut_lineage
 
 MAX_TRAIN = 10_000
@@ -135,6 +136,7 @@ class Scorer:
 
 def language(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct ``lang_pred, score`` for a text column."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

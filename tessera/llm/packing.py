@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 WINDOW = 4096
 END_ID = 2
 SENTENCE_PENALTY = 8.0
@@ -228,6 +230,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id:
     32-bit integers, ``sequence_id`` is unique in the result, ``offset`` is the
     piece's place in its sequence. The order of a partition's documents is kept.
     """
+    ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(lambda batches: _pack_stream(batches, tokenizer_path, window, end_id, stretch), PIECES)
 

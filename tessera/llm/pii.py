@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 ROUNDS = 8
 KINDS = ("email", "secret", "iban", "date", "ssn", "phone", "card", "ip")
 FOUND = "text string, private array<struct<kind: string, start: int, end: int>>"
@@ -239,6 +241,8 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with private values in the text replaced, and ``private``: kind, start and end of each in the new text."""
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf(FOUND)
     def scrub(texts: pd.Series) -> pd.DataFrame:
         work = Pseudonyms(key)

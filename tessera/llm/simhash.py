@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import cut_lineage
 from .graph import components
 
@@ -91,6 +92,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
             found = [majority(shingle_hashes(words_of(t), shingle)).view("<i8")[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
 
+    ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, fingerprint long")
 
@@ -154,6 +156,7 @@ def word_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 prints.append(majority(iter([np.frombuffer(rows, dtype=np.uint8)]), 32 * SEGMENTS).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())], names=["doc_id", "digest", "bits"])
 
+    ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     return chosen.mapInArrow(run, "doc_id long, digest binary, bits binary")
 

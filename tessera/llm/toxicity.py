@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .language import sampled
 
 MAX_TRAIN = 16_000
@@ -156,6 +157,7 @@ class Scorer:
 
 def toxicity(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of a text column, 0 to 1."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

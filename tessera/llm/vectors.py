@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import cut_lineage
 from .language import sampled
 
@@ -134,6 +135,7 @@ def fit(vectors: DataFrame, count: int, k: int, *, id_col: str, vector_col: str,
 def search(vectors: DataFrame, queries: Column, *, k: int = 10, least_probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row of ``vectors`` for which ``queries`` holds."""
     spark = vectors.sparkSession
+    ship_package(spark)
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
     good = named.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("embedding", F.col("embedding").cast("array<double>"))
     count = good.count()
