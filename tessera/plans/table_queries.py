@@ -126,13 +126,13 @@ def j14(spark, d):
     return read(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(known, "l_orderkey", "left_anti")
 
 
-SETS = "sets AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 200 AS item FROM lineitem), size AS (SELECT k, count(*) AS n FROM sets GROUP BY k), shared AS (SELECT a.k AS a, b.k AS b, count(*) AS m FROM sets a JOIN sets b ON a.item = b.item AND a.k < b.k GROUP BY 1, 2)"
+SETS = "sets AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS item FROM lineitem), size AS (SELECT k, count(*) AS n FROM sets GROUP BY k), shared AS (SELECT a.k AS a, b.k AS b, count(*) AS m FROM sets a JOIN sets b ON a.item = b.item AND a.k < b.k GROUP BY 1, 2)"
 
 
-@query("J16_set_overlap", f"WITH {SETS} SELECT a, b, round(m / (x.n + y.n - m), 6) AS jaccard FROM shared JOIN size x ON x.k = a JOIN size y ON y.k = b WHERE m / (x.n + y.n - m) >= 0.5")
+@query("J16_set_overlap", f"WITH {SETS} SELECT a, b, round(m / (x.n + y.n - m), 6) AS jaccard FROM shared JOIN size x ON x.k = a JOIN size y ON y.k = b WHERE m / (x.n + y.n - m) >= 0.16")
 def j16(spark, d):
-    sets = read(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 200).alias("item"))
-    return search.overlap_pairs(sets, "k", "item", 0.5).withColumn("jaccard", F.round("jaccard", 6))
+    sets = read(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("item"))
+    return search.overlap_pairs(sets, "k", "item", 0.16).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("J17_group_members", "SELECT n_name, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
@@ -251,7 +251,7 @@ def u7(spark, d):
 
 @query("M2_sketch_similarity")
 def m2(spark, d):
-    items = read(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 200).alias("item")).distinct()
+    items = read(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("item")).distinct()
     sizes = items.groupBy("k").agg(F.count("*").alias("size"))
     return search.sketch_similarity(search.sketch(items, "k", "item"), sizes, "k")
 
@@ -283,3 +283,64 @@ def s14(spark, d):
 @query("E13_last_write", "SELECT l_partkey AS off, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS after FROM lineitem GROUP BY l_partkey")
 def e13(spark, d):
     return read(spark, d, "lineitem", "l_partkey", "l_quantity", "l_orderkey", "l_linenumber").groupBy(F.col("l_partkey").alias("off")).agg(F.max_by("l_quantity", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("after"))
+
+
+@query("O10_verdict_order", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 100")
+def o10(spark, d):
+    return read(spark, d, "lineitem", "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(100)
+
+
+@query("O12_shown_and_total", "WITH d AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.05), t AS (SELECT count(*) AS total FROM d) SELECT l_orderkey, l_linenumber, total FROM d, t ORDER BY l_orderkey, l_linenumber LIMIT 500")
+def o12(spark, d):
+    found = read(spark, d, "lineitem").where("l_discount > 0.05").select("l_orderkey", "l_linenumber")
+    total = found.agg(F.count("*").alias("total")).scalar()
+    return found.orderBy("l_orderkey", "l_linenumber").limit(500).select("l_orderkey", "l_linenumber", total.alias("total"))
+
+
+@query("U4_first_by_address", "SELECT p_size, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_size")
+def u4(spark, d):
+    return read(spark, d, "part").groupBy("p_size").agg(F.min_by("p_name", "p_partkey").alias("p_name"))
+
+
+@query("U5_exclude_self", "SELECT s_suppkey FROM supplier WHERE s_suppkey <> 7")
+def u5(spark, d):
+    return read(spark, d, "supplier", "s_suppkey").where("s_suppkey <> 7")
+
+
+@query("J15_near_pairs", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON b.o_orderkey > a.o_orderkey AND b.o_orderkey <= a.o_orderkey + 8 AND a.o_orderpriority = b.o_orderpriority")
+def j15(spark, d):
+    o = read(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    width = 8  # a pair within the width lies in one bucket or in two that follow each other
+    left = o.select(F.col("o_orderkey").alias("a"), F.col("o_orderpriority").alias("p"), F.explode(F.array(F.floor(F.col("o_orderkey") / width), F.floor(F.col("o_orderkey") / width) + 1)).alias("k"))
+    right = o.select(F.col("o_orderkey").alias("b"), F.col("o_orderpriority").alias("p"), F.floor(F.col("o_orderkey") / width).alias("k"))
+    return left.join(right, ["k", "p"]).where((F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + width)).select("a", "b")
+
+
+@query("E8_import_changes", "SELECT p_partkey, CAST((p_size + (p_partkey * 7) % 256) % 256 AS INTEGER) AS relative, CAST(CASE WHEN p_partkey % 2 = 0 THEN (p_partkey * 7) % 256 ELSE p_size END AS INTEGER) AS absolute FROM part")
+def e8(spark, d):
+    new = F.col("p_partkey") * 7 % 256
+    return read(spark, d, "part").select("p_partkey", ((F.col("p_size") + new) % 256).cast("int").alias("relative"), F.when(F.col("p_partkey") % 2 == 0, new).otherwise(F.col("p_size")).cast("int").alias("absolute"))
+
+
+@query("F3_masked_replace", "SELECT p_partkey, replace(p_name, 'ar', 'AR') AS replaced FROM part")
+def f3(spark, d):
+    from ..operators.greedy import replace_masked
+
+    new = replace_masked(F.col("p_name").cast("binary"), "61 72", "41 52")
+    return read(spark, d, "part").select("p_partkey", new.cast("string").alias("replaced"))
+
+
+@query("O4_overlap_suppression")
+def o4(spark, d):
+    from ..operators.greedy import suppress_overlaps
+
+    spans = read(spark, d, "part").select("p_brand", (F.col("p_partkey") % 500).alias("begin"), (F.col("p_partkey") % 500 + F.col("p_size")).alias("end"), F.col("p_retailprice").alias("score"))
+    return suppress_overlaps(spans, "p_brand")
+
+
+@query("M11_seed_clusters")
+def m11(spark, d):
+    from ..operators.greedy import seed_clusters
+
+    sets = read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.collect_set(F.col("c_custkey") % 5)).alias("items"))
+    return seed_clusters(sets, "c_nationkey", "c_mktsegment", "items")
