@@ -104,3 +104,27 @@ def test_live(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.begin_at, r.end_at, r.n) for r in spark.table("pulls").collect()) == [(1000, 3000, 3), (5000, 7000, 3)]
+
+
+def test_sketches_and_map_similarity(spark):
+    import random
+
+    rng = random.Random(6)
+    base = list(range(4000))
+    sets = {"a": base, "b": base[:3600] + list(range(9000, 9400)), "c": rng.sample(range(20_000, 90_000), 4000)}
+    items = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "k string, item long")
+    sizes = items.groupBy("k").agg(F.count("*").alias("size"))
+    got = {(r.a, r.b): (r.jaccard, r.containment) for r in search.sketch_similarity(search.sketch(items, "k", "item"), sizes, "k").collect()}
+    assert set(got) == {("a", "b")} and got["a", "b"][0] == pytest.approx(3600 / 4400, abs=0.15) and got["a", "b"][1] <= 1
+    from tessera.operators import arrays
+
+    rows = [(n, [math.sin(k / (5 + n % 3)) + 0.01 * n for k in range(64)]) for n in range(6)]
+    cells = arrays.cells_of(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 8)
+    best = arrays.similar_to(arrays.fingerprint(cells), F.col("array_id") == 0, 0.5, 3).collect()
+    assert best[0].array_id == 3 and best[0].score > 0.9 and 0 not in {r.array_id for r in best}
+    plane = {(r.row, r.col): r.value for r in arrays.smooth_plane(cells.where("array_id = 0"), 2).collect()}
+    now = {(k // 8, k % 8): x for k, x in enumerate(rows[0][1])}
+    for _ in range(2):
+        near = lambda r, c: [((a, b), 2 if (a, b) == (r, c) else 1) for a in (r - 1, r, r + 1) for b in (c - 1, c, c + 1) if (a, b) in now]
+        now = {p: sum(now[q] * w for q, w in near(*p)) / sum(w for _, w in near(*p)) for p in now}
+    assert plane == pytest.approx(now)
