@@ -80,7 +80,9 @@ def link(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     placed = pairs.join(listed, "source_id").withColumns({"cells_at": locate(F.col("source"), F.col("target"), body, 2, SAMPLE_BYTES), "axis_at": locate(F.col("source"), F.col("target"), axis, 4, AXIS_BYTES)})
     # the two count bytes before an axis, read here so that the images go no further
     heads = F.transform(F.arrays_zip("maps", "axis_at"), lambda z: F.conv(F.hex(F.substring(F.col("target"), (z.axis_at - z.maps.axis_address + z.maps.address + 1).cast("int"), F.lit(2))), 16, 10).cast("int"))
-    rows = placed.select("pair_id", F.length("target").alias("size"), F.explode(F.arrays_zip("maps", "cells_at", "axis_at", heads.alias("head"))).alias("z"))
+    # the images end here, below the generator, or each exploded row would carry them
+    listed = placed.select("pair_id", F.length("target").alias("size"), F.arrays_zip("maps", "cells_at", "axis_at", heads.alias("head")).alias("found"))
+    rows = listed.select("pair_id", "size", F.explode("found").alias("z"))
     rows = rows.select("pair_id", "size", "z.maps.*", F.when(F.col("z.cells_at").isNotNull(), F.greatest(F.col("z.cells_at") - F.col("z.maps.data_offset"), F.lit(0))).alias("exact"), (F.col("z.axis_at") - F.col("z.maps.axis_address") + F.col("z.maps.address")).alias("start"), "z.head")
     inside = (F.col("data_offset") > 0) & (F.col("start") >= 0) & (F.col("start") + F.col("data_offset") + F.col("length") <= F.col("size"))
     counted = (F.col("axis_address") - F.col("address") < 2) | (F.col("head") == F.col("columns"))

@@ -265,11 +265,11 @@ def e7(spark, d):
     return raw_cells(spark, d).join(deltas, ["array_id", "pos"], "left").select("array_id", "pos", (F.col("raw") + F.coalesce("delta", F.lit(0))).alias("raw"))
 
 
-@query("E9_patch", f"WITH {RAW}, patch AS (SELECT a.array_id, a.pos, a.raw AS before, b.raw AS after FROM raw_cells a JOIN raw_cells b ON b.array_id = a.array_id + 1 AND a.pos = b.pos WHERE a.raw <> b.raw AND a.pos % 4 = 0) SELECT c.array_id, count(p.pos) AS patched, count(*) FILTER (p.before <> c.raw) AS mismatched, CAST(sum(coalesce(p.after, c.raw)) AS BIGINT) AS total FROM raw_cells c LEFT JOIN patch p ON p.array_id = c.array_id AND p.pos = c.pos GROUP BY c.array_id")
+@query("E9_patch", f"WITH {RAW}, patch AS (SELECT a.array_id, a.pos, a.raw AS before, b.raw AS after FROM raw_cells a JOIN raw_cells b ON b.array_id = a.array_id + 1 AND a.pos = b.pos WHERE a.raw < b.raw) SELECT c.array_id, count(p.pos) AS patched, count(*) FILTER (p.before <> c.raw) AS mismatched, CAST(sum(coalesce(p.after, c.raw)) AS BIGINT) AS total FROM raw_cells c LEFT JOIN patch p ON p.array_id = c.array_id AND p.pos = c.pos GROUP BY c.array_id")
 def e9(spark, d):
     now = raw_cells(spark, d)
     after = now.select((F.col("array_id") - 1).alias("array_id"), "pos", F.col("raw").alias("after"))
-    patch = now.where("pos % 4 = 0").join(after, ["array_id", "pos"]).where("raw <> after").select("array_id", "pos", F.col("raw").alias("before"), "after")
+    patch = now.join(after, ["array_id", "pos"]).where("raw < after").select("array_id", "pos", F.col("raw").alias("before"), "after")
     done = now.join(patch, ["array_id", "pos"], "left")
     return done.groupBy("array_id").agg(F.count("before").alias("patched"), F.count_if(F.col("before") != F.col("raw")).alias("mismatched"), F.sum(F.coalesce("after", "raw")).alias("total"))
 

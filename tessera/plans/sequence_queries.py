@@ -97,10 +97,10 @@ def j7(spark, d):
     return sequences.neighbours(samples(spark, d).select("log_id", "t").distinct(), ["log_id"], "t")
 
 
-@query("J8_as_of", f"WITH {SAMPLES}, p AS (SELECT * FROM samples WHERE event_id % 3 = 0), m AS (SELECT * FROM samples WHERE event_id % 3 = 1) SELECT p.event_id, round(b.value, 6) AS before, round(a.value, 6) AS after, round(coalesce(b.value + (a.value - b.value) * (p.t - b.t) / (a.t - b.t), b.value, a.value), 6) AS midway FROM p ASOF LEFT JOIN m b ON p.log_id = b.log_id AND p.t >= b.t ASOF LEFT JOIN m a ON p.log_id = a.log_id AND p.t < a.t")
+@query("J8_as_of", f"WITH {SAMPLES}, p AS (SELECT * FROM samples WHERE channel <> 'purchase'), m AS (SELECT * FROM samples WHERE channel = 'purchase') SELECT p.event_id, round(b.value, 6) AS before, round(a.value, 6) AS after, round(coalesce(b.value + (a.value - b.value) * (p.t - b.t) / (a.t - b.t), b.value, a.value), 6) AS midway FROM p ASOF LEFT JOIN m b ON p.log_id = b.log_id AND p.t >= b.t ASOF LEFT JOIN m a ON p.log_id = a.log_id AND p.t < a.t")
 def j8(spark, d):
     s = samples(spark, d)
-    found = sequences.nearest_marks(s.where("event_id % 3 = 0").select("log_id", "t", "event_id"), s.where("event_id % 3 = 1"), ["log_id"], "t", "value")
+    found = sequences.nearest_marks(s.where("channel <> 'purchase'").select("log_id", "t", "event_id"), s.where("channel = 'purchase'"), ["log_id"], "t", "value")
     return found.select("event_id", *(F.round(c, 6).alias(c) for c in ("before", "after", "midway")))
 
 

@@ -92,7 +92,7 @@ def test_logs(spark, tmp_path):
     (tmp_path / "maps.txt").write_text("Address;Name;Size\n0x10;A;4\n$20;A;8\n0x10;B;2\n0x30;A;1\n")
     got = sorted((r.address, r.name, r.size) for r in logs.map_list(spark, str(tmp_path / "maps.txt")).collect())
     assert got == [(16, "B", 2), (32, "A", 8), (48, "A [$30]", 1)]
-    assert tuple(one(spark, units.normal_unit(F.lit(" mbar ")))) == ("bar", 0.001) and tuple(one(spark, units.cylinder(F.lit("Knock Cyl 3")))) == ("Knock", 3)
+    assert tuple(one(spark, units.normal_unit(F.lit(" mbar ")))) == ("bar", 0.001) and tuple(one(spark, units.cylinder(F.lit("Knock Cylinder 3")))) == ("Knock", 3)
 
 
 def test_live(spark, tmp_path):
@@ -128,3 +128,18 @@ def test_sketches_and_map_similarity(spark):
         near = lambda r, c: [((a, b), 2 if (a, b) == (r, c) else 1) for a in (r - 1, r, r + 1) for b in (c - 1, c, c + 1) if (a, b) in now]
         now = {p: sum(now[q] * w for q, w in near(*p)) / sum(w for _, w in near(*p)) for p in now}
     assert plane == pytest.approx(now)
+
+
+def test_channels(spark):
+    from tessera.functions import channels
+
+    cases = [(["Engine speed", "nmot"], "Autotuner"), (["EnginRPM"], "PorscheSdi21"), (["nmot_w", "nmot"], "BoschMercME"), (["nmot"], "BmwMssS55"), (["n", "gear"], "PorscheOldSdi"), (["n"], "Unknown"), (["Block001[x]"], "MercedesMeBlock"), ([], "Unknown"), (None, None)]
+    frame = spark.createDataFrame(cases, "names array<string>, want string").select("want", channels.family(F.col("names")).alias("got"))
+    assert all(r.got == r.want for r in frame.collect())
+    cases = [("rl_msg", "BmwMedc17", ("RelativeLoad", None)), ("Ignition withdrawal timing Cylinder 4", "Autotuner", ("KnockRetardCyl", 4)), ("wkrmv[0]", "BoschMercME", ("KnockRetardCyl", 1)), ("nmot", "BoschMercME", ("Unknown", None)), ("nmot", "Unknown", ("EngineRpm", None)), ("Time", "Unknown", ("Time", None))]
+    for name, family, want in cases:
+        assert tuple(one(spark, channels.signal(F.lit(name), F.lit(family)))) == want, name
+    for text, want in {"°C": ("°C", 1.0), "deg  C": ("°C", 1.0), "MPa": ("bar", 10.0), "µs": ("µs", 1.0), "x": ("x", 1.0), "": ("", 1.0)}.items():
+        assert tuple(one(spark, units.normal_unit(F.lit(text)))) == want
+    for text, want in {"Knock Array [2]": ("Knock", 3), "k[0]": ("k", 1), "ZW_Zyl4": ("ZW_", 4), "plain": ("plain", None)}.items():
+        assert tuple(one(spark, units.cylinder(F.lit(text)))) == want
