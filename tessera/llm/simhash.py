@@ -10,11 +10,16 @@ bucket's smallest, and the complete distance is verified; members of a bucket th
 are linked to its smallest are linked to one another.
 
 ``near_copies`` is the looser search for copies by Jaccard similarity of word
-shingles: fingerprints of several 32-bit segments over the set of words, the same
-radius-one balls within each segment, matches at the table of codes, and then the
-complete distance and the exact similarity. There a bucket may hold a whole family
-of copies, so it offers its smallest and its largest member as partners rather than
-all pairs; minima and maxima are combined before the shuffle.
+shingles. Texts meet in the shingles of their prefixes: of n shingles in one order
+common to all texts, the first n - ceil(similarity * n) + 1. Two sets that are similar
+enough share one of these in whatever order, so none is lost. The order puts shingles
+that are common in a sample last, so that buckets stay small. Pairs then pass a filter
+by size, which is exact, and one by the distance of 128-bit fingerprints of the
+shingles, five deviations beyond what the similarity shows; exact similarities of whole
+texts decide. A bucket may hold a whole family of copies, so it first offers only the
+member nearest to its majority as partner of the others; then every member's nearest
+partners in other components, more of them each round, until every pair of a bucket
+that passes the filters is verified or lies within one component.
 
 Edge cases: null and empty texts have no words and fingerprint zero; a text with
 fewer words than a shingle is one shingle; repeated rows and equal texts have equal
@@ -26,7 +31,7 @@ like any other in ``groups`` but never name one; ``near_copies`` leaves them alo
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +45,14 @@ from .common import cut_lineage
 from .graph import components
 
 SEED = 42
-#: Segments of the word fingerprints, of 32 bits each.
-SEGMENTS = 4
-#: Of 32 * SEGMENTS bits: about twice what copies of similarity 0.8 show.
-FAR_BITS = 28
+#: Sets of fewer shingles are compared whatever their fingerprints.
+FEW_SHINGLES = 32
+#: Texts whose shingles are counted to order them, and the count from which one is common; the order changes no result.
+SAMPLE_TEXTS, COMMON = 20_000, 5
+#: Partners that a member of a bucket gets in the first round across components, and their growth by round.
+PARTNERS, GROWTH = 4, 8
+#: Members of a bucket compared with all others at once.
+ROWS_A_BLOCK = 256
 #: Ids and pairs up to this number (24 bytes each) are broadcast to pick their texts; beyond it the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at once; bounds a task's memory for very long texts.
@@ -123,56 +132,182 @@ def groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_co
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-class _WordBits(dict):
-    """The hash bits of each word, found when first asked for."""
+def _distinct_shingles(text: str | None, size: int) -> np.ndarray:
+    chunks = [*shingle_hashes(words_of(text), size)]
+    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, dtype="<u8")
 
-    def __init__(self, limit: int = 400_000) -> None:
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """A second hash from the first, by SplitMix64."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = b"".join(xxhash.xxh64_digest(word, seed) for seed in range(SEGMENTS // 2))
-        return found
 
+def far_bits(similarity: float) -> int:
+    """Of 128 bits: the mean and five deviations for two sets of this similarity, the largest angle it allows."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(128 * share + 5 * math.sqrt(128 * share * (1 - share)))
 
-_PLAIN = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
-
-def word_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, bits``: the text's MD5 and the fingerprint of its set of words without punctuation."""
+def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles common in a sample of ``docs`` (id, text), rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordBits()
         for batch in batches:
-            digests, prints = [], []
             for text in batch.column(1).to_pylist():
-                data = (text or "").encode("utf-8", "surrogatepass")
-                digests.append(hashlib.md5(data, usedforsecurity=False).digest())
-                # white space stays: punctuation goes from within words only
-                rows = b"".join(map(known.__getitem__, {_PLAIN.sub(b"", w) for w in set(data.lower().split())}))
-                prints.append(majority(iter([np.frombuffer(rows, dtype=np.uint8)]), 32 * SEGMENTS).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())], names=["doc_id", "digest", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct_shingles(text, shingle).view("<i8"))], names=["hash"])
 
-    ship_package(docs.sparkSession)
+    parts = max(1, docs.count() // SAMPLE_TEXTS)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
+    counted = sample.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).toArrow()
+    hashes, counts = (counted.column(k).to_numpy() for k in range(2))
+    return hashes[np.lexsort((hashes, counts))].view("<u8")
+
+
+def prefixes(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, digest, size, left, right, codes``: the text's MD5, number of shingles, their fingerprint and prefix."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return chosen.mapInArrow(run, "doc_id long, digest binary, bits binary")
+    ship_package(docs.sparkSession)
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(chosen, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.argsort(common.value)
+        known = common.value[places]
+
+        def prefix(hashes: np.ndarray) -> np.ndarray:
+            wanted = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+            if not len(known) or not len(hashes):
+                return hashes[:wanted]
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            often = known[at] == hashes
+            rare = hashes[~often][:wanted]
+            return np.concatenate([rare, common.value[np.sort(places[at[often]])[: wanted - len(rare)]]])
+
+        for batch in batches:
+            digests, sizes, left, right, codes = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                digests.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+                hashes = _distinct_shingles(text, shingle)
+                sizes.append(len(hashes))
+                for out, mixed in ((left, hashes), (right, _mixed(hashes))):
+                    chunks = (mixed[k : k + CHUNK] for k in range(0, len(mixed), CHUNK))
+                    out.append(majority(chunks).view("<i8")[0])
+                # texts without words meet one another
+                codes.append(prefix(hashes).view("<i8") if len(hashes) else np.zeros(1, dtype="<i8"))
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(codes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "size", "left", "right", "codes"])
+
+    return chosen.mapInArrow(run, "doc_id long, digest binary, size long, left long, right long, codes array<long>")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole buckets of two members or more, from rows sorted by the first column; where buckets begin."""
+
+    def shared(table: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        code = table[0]
+        same = code[1:] == code[:-1]
+        kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        table = [c[kept] for c in table]
+        return table, np.flatnonzero(np.concatenate(([True], table[0][1:] != table[0][:-1]))) if kept.any() else np.zeros(0, dtype=int)
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        last = held[-1][0][-1]
+        if held[0][0][0] != last and sum(len(h[0]) for h in held) >= CHUNK:
+            table = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = np.argmax(table[0] == last)
+            found = shared([c[:cut] for c in table])
+            held = [[c[cut:] for c in table]]
+            if len(found[1]):
+                yield found
+    if held:
+        found = shared([np.concatenate(c) for c in zip(*held, strict=True)])
+        if len(found[1]):
+            yield found
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries whose bucket has other members."""
+    for table, _ in _buckets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=["code", "id", "root", "size", "left", "right"])
+
+
+def _may_match(similarity: float, apart, size, other):
+    few = np.minimum(size, other) < FEW_SHINGLES
+    return (few | (apart <= far_bits(similarity))) & (np.minimum(size, other) >= similarity * np.maximum(size, other) - 1e-9)
+
+
+def _stars(similarity: float):
+    """Each bucket's members with the one nearest to its majority: ``id, partner, apart, more``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, _, size, *bits), begins in _buckets(batches):
+            counts = np.diff(np.append(begins, len(ids)))
+            bucket = np.repeat(np.arange(len(begins)), counts)
+            bits = np.stack(bits, axis=1).view(np.uint64)
+            ones = np.stack([np.add.reduceat((bits[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(np.int32), begins) for k in range(128)], axis=1)
+            middle = np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")
+            away = np.bitwise_count(bits ^ middle[bucket]).sum(axis=1, dtype=np.int64)
+            pivot = np.lexsort((ids, away, bucket))[begins][bucket]
+            apart = np.bitwise_count(bits ^ bits[pivot]).sum(axis=1, dtype=np.int64)
+            kept = (ids != ids[pivot]) & _may_match(similarity, apart, size, size[pivot])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(ids[pivot][kept]), pa.array(apart[kept]), pa.array(np.zeros(kept.sum(), dtype=bool))], names=["id", "partner", "apart", "more"])
+
+    return run
+
+
+def _split(done: int):
+    """The entries of buckets in several components, without those whose members have met ``done`` partners, that is all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _buckets(batches):
+            root, counts = table[2], np.diff(np.append(begins, len(table[0])))
+            open_ = (np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)) & (counts > done + 1)
+            kept = np.repeat(open_, counts)
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in table], names=["code", "id", "root", "size", "left", "right"])
+
+    return run
+
+
+def _across(similarity: float, partners: int):
+    """Each member with its nearest partners of other components in its buckets; whether there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, ids, root, size, *bits), begins in _buckets(batches):
+            bits = np.stack(bits, axis=1).view(np.uint64)
+            for a, b in zip(begins, [*begins[1:], len(ids)], strict=True):
+                for k in range(a, b, ROWS_A_BLOCK):
+                    rows = slice(k, min(b, k + ROWS_A_BLOCK))
+                    apart = np.bitwise_count(bits[rows, None] ^ bits[None, a:b]).sum(axis=2, dtype=np.int64)
+                    fits = (root[rows, None] != root[None, a:b]) & _may_match(similarity, apart, size[rows, None], size[None, a:b])
+                    apart[~fits] = 999
+                    more = fits.sum(axis=1) > partners
+                    if more.any():
+                        nearest = np.argpartition(apart, partners - 1, axis=1)[:, :partners]
+                        chosen = np.zeros_like(fits)
+                        np.put_along_axis(chosen, nearest, True, axis=1)
+                        fits &= chosen
+                    i, j = np.nonzero(fits)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows][i]), pa.array(ids[a:b][j]), pa.array(apart[i, j]), pa.array(more[i])], names=["id", "partner", "apart", "more"])
+
+    return run
 
 
 def _similarity(shingle: int):
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        def shingles(text: str | None) -> np.ndarray:
-            chunks = [*shingle_hashes(words_of(text), shingle)]
-            return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, dtype="<u8")
-
         out, last, mine = [], None, None
         for a, b in zip(left, right, strict=True):
             if mine is None or a != last:
-                last, mine = a, shingles(a)
-            other = shingles(b)
+                last, mine = a, _distinct_shingles(a, shingle)
+            other = _distinct_shingles(b, shingle)
             both = len(np.intersect1d(mine, other, assume_unique=True))
             out.append(both / (len(mine) + len(other) - both) if both else float(len(mine) == len(other) == 0))
         return pd.Series(out)
@@ -185,28 +320,19 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
 
     ``group_id`` is the group's smallest id. Documents without copies are not listed.
     """
-    prints = cut_lineage(word_prints(docs, id_col, text_col))
-    texts = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("bits").alias("bits"), F.count_distinct("doc_id").alias("copies"))
-    texts = cut_lineage(texts)
-
-    word = [F.conv(F.hex(F.substring("bits", 4 * s + 1, 4)), 16, 10).cast("long") for s in range(SEGMENTS)]
+    prints = cut_lineage(prefixes(docs, similarity, shingle, id_col, text_col))
+    texts = cut_lineage(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("copies")))
+    firsts = prints.join(texts.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"])
+    schema = "code long, id long, root long, size long, left long, right long"
+    entries = firsts.select(F.explode("codes").alias("code"), F.col("doc_id").alias("id"), F.col("doc_id").alias("root"), "size", "left", "right")
 
-    def ball(segment: int):
-        """The segment's value and all values one bit from it, marked with the segment's number."""
-        place = F.lit(segment << 32).bitwiseOR(word[segment])
-        return F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda bit: F.when(bit < 0, place).otherwise(place.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))))
+    def by_code(frame: DataFrame) -> DataFrame:
+        return frame.repartition("code").sortWithinPartitions("code")
 
-    balls = [ball(s) for s in range(SEGMENTS)]
-    entries = texts.select("id", F.explode(F.concat(*balls)).alias("code"))
-    shared = entries.groupBy("code").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    met = entries.join(shared, "code").select("id", F.explode(F.array("low", "high")).alias("partner")).where("id <> partner").distinct()
-
-    bits = texts.select("id", "bits")
-    own = bits.select(F.col("id"), F.col("bits").alias("own"))
-    theirs = bits.select(F.col("id").alias("partner"), F.col("bits").alias("theirs"))
-    apart = _differing(F.col("own"), F.col("theirs"))
-    near = met.join(own, "id").join(theirs, "partner").select("id", "partner", apart.alias("apart")).where(F.col("apart") <= FAR_BITS)
-    near = cut_lineage(near)
+    entries = cut_lineage(by_code(entries).mapInArrow(_meeting, schema))
+    pairs = "id long, partner long, apart long, more boolean"
+    # a checkpoint keeps partitions and their order
+    near = cut_lineage(entries.mapInArrow(_stars(similarity), pairs).select("id", "partner", "apart").distinct())
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -227,8 +353,25 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     of_partner = roots.select(F.col("node").alias("partner"), F.col("root").alias("root_partner"))
     rest = near.join(nearest.withColumn("tried", F.lit(True)), ["id", "partner"], "left").where("tried is null")
     rest = rest.join(of_id, "id", "left").join(of_partner, "partner", "left").select(F.coalesce("root_id", "id").alias("a"), F.coalesce("root_partner", "partner").alias("b"), "id", "partner").where("a <> b")
-    more = verified(cut_lineage(rest.select("id", "partner").distinct()))
-    roots = components(found.unionAll(more))
+    rest = cut_lineage(rest.select("id", "partner").distinct())
+    found = found.unionAll(verified(rest))
+    ordered = [F.least("id", "partner").alias("id"), F.greatest("id", "partner").alias("partner")]
+    tried = nearest.unionAll(rest).select(*ordered).distinct()
+    # then all pairs of a bucket that would join two components, the nearest first
+    partners, done = PARTNERS, 1
+    while True:
+        roots = cut_lineage(components(found))
+        rooted = entries.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").select("code", "id", F.coalesce("root", "id").alias("root"), "size", "left", "right")
+        entries = cut_lineage(by_code(rooted).mapInArrow(_split(done), schema))
+        split = entries.mapInArrow(_across(similarity, partners), pairs)
+        split = cut_lineage(split.select(*ordered, "more").groupBy("id", "partner").agg(F.max("more").alias("more")))
+        new = cut_lineage(split.join(tried, ["id", "partner"], "left_anti").select("id", "partner"))
+        found = cut_lineage(found.unionAll(verified(new)))
+        if split.where("more").isEmpty():
+            break
+        tried = cut_lineage(tried.unionAll(new))
+        partners, done = partners * GROWTH, partners
+    roots = components(found)
     rooted = texts.select("digest", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", "id", "copies", F.coalesce("root", "id").alias("root"))
     rooted = cut_lineage(rooted)
     smallest = rooted.groupBy("root").agg(F.min("id").alias("group_id"), F.sum("copies").alias("size")).where("size > 1")
@@ -237,15 +380,6 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     return listed.select("doc_id", "group_id").distinct()
 
 
-def _differing(left, right):
-    """The number of differing bits of two binary columns of 4 * SEGMENTS bytes."""
-    total = F.lit(0)
-    for s in range(SEGMENTS):
-        a, b = (F.conv(F.hex(F.substring(c, 4 * s + 1, 4)), 16, 10).cast("long") for c in (left, right))
-        total = total + F.bit_count(a.bitwiseXOR(b))
-    return total
-
-
 def without_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id. Rows with a null id stay."""
     found = near_copies(docs, similarity=similarity, shingle=shingle, id_col=id_col, text_col=text_col)

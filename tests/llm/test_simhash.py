@@ -106,3 +106,41 @@ def test_near_copies(spark):
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
     assert simhash.near_copies(frame.limit(0).drop("group_id")).count() == 0
+
+
+def jaccard_groups(rows):
+    """The smallest id of each row's group, by brute force."""
+    sets = {n: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for n, x in rows for t in [tuple(x.split())]}
+    parent = {n: n for n in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    roots = {n: find(n) for n in sets}
+    return {n: g for n, g in roots.items() if list(roots.values()).count(g) > 1}
+
+
+def test_near_copies_in_large_families(spark):
+    rng = random.Random(4)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{k}" for k in range(3000)]
+
+    def edited(text, times):
+        text = list(text)
+        for at in rng.sample(range(5, len(text) - 5), times):
+            text[at] = rng.choice(words)
+        return " ".join(text)
+
+    star = [rng.choice(words) for _ in range(290)]
+    template = [rng.choice(words) for _ in range(200)]
+    rows = [(k, edited(star, 4)) for k in range(100)] + [(100, " ".join(star))] + [(101 + k, edited(star, 4)) for k in range(100)]
+    rows += [(1000 + k, edited(template, rng.randrange(2, 7))) for k in range(200)]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = jaccard_groups(rows)
+    assert len([n for n, g in want.items() if g == 0]) > 190 and got == want
