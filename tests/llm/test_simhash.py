@@ -144,3 +144,18 @@ def test_near_copies_in_large_families(spark):
     got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = jaccard_groups(rows)
     assert len([n for n, g in want.items() if g == 0]) > 190 and got == want
+
+
+def test_near_copies_that_differ_by_a_block(spark):
+    rng = random.Random(5)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{k}" for k in range(3000)]
+    common = words[:200]
+    rows = []
+    for k in range(60):
+        n = rng.randrange(60, 900)
+        text = [rng.choice(common) for _ in range(n)]
+        other = text[: int(0.83 * n)] if k % 2 else [*text, *(rng.choice(words) for _ in range(int(0.2 * n)))]
+        rows += [(k, " ".join(text)), (100 + k, " ".join(other))]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = jaccard_groups(rows)
+    assert len(want) >= 110 and got == want
