@@ -17,7 +17,8 @@ email    letters and digits before the @; the domain stays
 secret   32 or more hexadecimal digits, or what is assigned to a key, token, secret or password
 
 Edge cases: a null text stays null and an empty one empty; whole texts are scanned;
-a value inside a longer word or number is left alone; where two values overlap, the
+a value inside a longer word or number is left alone;
+of a run of groups that holds more than a value, the first groups that are valid are the value; where two values overlap, the
 kind named first in ``KINDS`` holds; repeated rows give repeated results; an empty
 table gives no rows; a column named ``private`` in the input is replaced.
 """
@@ -54,6 +55,18 @@ _PATTERNS = {
     "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
 }
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20".split()}
+
+
+def _likely_length(kind: str, plain: str) -> int:
+    """Letters and digits of the value that ``plain`` begins with, 0 if that is open."""
+    if kind == "iban":
+        return IBAN_LENGTHS.get(plain[:2], 0)
+    if kind == "phone":
+        return 11 if plain[0] == "1" else 0
+    return 15 if plain[:2] in ("34", "37") else 16 if plain[0] in "2456" else 0
+
 
 class Feistel:
     """A keyed permutation of ``range(n)`` without fixed points, for each n from 2 and each label."""
@@ -209,18 +222,38 @@ class Pseudonyms:
         new = self.permute.stand_in("ip", 1 << 32, int.from_bytes(bytes(map(int, octets)), "big"))
         return ".".join(map(str, new.to_bytes(4, "big")))
 
+    def _readings(self, kind: str, text: str, start: int, end: int) -> list[int]:
+        """The ends of what a run over blanks may hold: the likely length first, then the longest, before ends within an address."""
+        ends = [start + k for k in range(1, end - start) if text[start + k - 1].isalnum() and not text[start + k].isalnum()] + [end]
+        if kind == "phone" and text[start] != "+":
+            return [end]
+        plain = re.sub(r"[^0-9A-Z]", "", text[start:end])
+        likely = _likely_length(kind, plain)
+        length = {e: sum(map(str.isalnum, text[start:e])) for e in ends}
+        low, high = {"iban": (15, 34), "phone": (8, 15), "card": (13, 19)}[kind]
+        ends = [e for e in ends if low <= length[e] <= high]
+        inside = {e: any(m.start() < e < m.end() and self.replace("ip", m[0]) for m in _PATTERNS["ip"].finditer(text, start, end + 15)) for e in ends} if kind == "phone" else {}
+        return sorted(ends, key=lambda e: (inside.get(e, False), length[e] != likely, -e))
+
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """Start, end, kind and pseudonym of each value, in order."""
         taken: list[tuple[int, int, str, str]] = []
 
-        def take(kind: str, start: int, end: int) -> None:
+        def take(kind: str, start: int, end: int) -> bool:
             if all(end <= a or start >= b for a, b, *_ in taken) and (new := self.replace(kind, text[start:end])) is not None:
                 taken.append((start, end, kind, new))
+                return True
+            return False
 
         for m in _AT.finditer(text):
             if local := _LOCAL.search(text, max(0, m.start() - 64), m.start()):
                 take("email", local.start(), m.start())
         for kind in KINDS[1:]:
+            if kind in ("iban", "phone", "card"):
+                at = 0
+                while m := _PATTERNS[kind].search(text, at):
+                    at = next((e for e in self._readings(kind, text, *m.span()) if take(kind, m.start(), e)), m.start() + 1)
+                continue
             for m in _PATTERNS[kind].finditer(text):
                 take(kind, *m.span(1 if kind == "secret" and m[1] else 0))
         return sorted(taken)

@@ -118,6 +118,24 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(frame.limit(0), key="k").count() == 0
 
 
+def test_pseudonyms_of_adjacent_values():
+    work = pii.Pseudonyms("k")
+    for value, rest in [
+        ("+1 (826) 555-4081", " 190.137.223.204"),
+        ("+49 30 1234567", " 190.137.223.204"),
+        ("4111 1111 1111 1111", " 12/27"),
+        ("4111 1111 1111 1111", " 123"),
+        ("4111111111111111", " 2 items"),
+        ("BE68 5390 0754 7034", " EUR 50"),
+        ("AT611904300234573201", " EUR 50"),
+    ]:
+        alone, both = work.scrub(value)[0], work.scrub(f"pay {value}{rest}")
+        assert alone != value and both[0].startswith(f"pay {alone} ") and value not in both[0]
+        assert [k for k, *_ in both[1]][1:] == (["ip"] if "." in rest else [])
+    # a number before a card
+    assert "4111 1111 1111 1111" not in work.scrub("no 12 4111 1111 1111 1111")[0]
+
+
 # extraction
 
 
