@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 ROUNDS = 8
+#: Characters of a secret permuted together; longer ones go piece by piece.
+PIECE = 200
 KINDS = ("email", "secret", "iban", "date", "ssn", "phone", "card", "ip")
 FOUND = "text string, private array<struct<kind: string, start: int, end: int>>"
 
@@ -46,7 +48,7 @@ _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # days from 1900 t
 _AT = re.compile(r"@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _PATTERNS = {
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,200}?[0-9])(?=[0-9]{0,200}?[a-f])[0-9a-f]{32,200}(?![0-9A-Za-z])|\b(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_+/=-]{8,200})"),
+    "secret": re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])|\b(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_+/=-]{8,}+)"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     "date": re.compile(r"(?<![0-9./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})([/.])([0-9]{1,2})\5([0-9]{4}))(?![0-9/-]|\.[0-9])"),
     "ssn": re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])"),
@@ -154,9 +156,10 @@ class Pseudonyms:
         return _spell(self.permute, "email", local) if re.search(r"[A-Za-z0-9]", local) else None
 
     def _secret(self, value: str) -> str | None:
+        pieces = [value[k : k + PIECE] for k in range(0, len(value), PIECE)]
         if re.fullmatch(r"[0-9a-f]{32,}", value):
-            return _spell(self.permute, "hex", value, hexadecimal=True)
-        return _spell(self.permute, "secret", value) if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) else None
+            return "".join(_spell(self.permute, "hex", p, hexadecimal=True) for p in pieces)
+        return "".join(_spell(self.permute, "secret", p) for p in pieces) if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) else None
 
     def _iban(self, value: str) -> str | None:
         plain = value.replace(" ", "")

@@ -136,6 +136,19 @@ def test_pseudonyms_of_adjacent_values():
     assert "4111 1111 1111 1111" not in work.scrub("no 12 4111 1111 1111 1111")[0]
 
 
+def test_pseudonyms_of_long_secrets():
+    work = pii.Pseudonyms("k")
+    rng = random.Random(6)
+    for size in (40, 256, 300, 100_000):
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(size))
+        token = "".join(rng.choice("abcXYZ019_") for _ in range(size))
+        for text, value in ((f"see {key}, ok", key), (f'token="{token}" ok', token)):
+            new, spans = work.scrub(text)
+            (kind, start, end), = spans
+            assert kind == "secret" and end - start == size and new[:start] + value + new[end:] == text
+            assert all(value[k : k + 40] not in new for k in range(0, size - 39, 20))
+
+
 # extraction
 
 
