@@ -51,7 +51,8 @@ _TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|\
 TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|{_RAW}|{_TAG}|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
 _MARKS = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
 #: Weights of the classifier, in units of logarithmic odds.
 BIAS, IN_CONTENT, IN_BOILERPLATE, IN_HEADER, LINKED, PER_WORD, SENTENCE, HEADING = -0.5, 3.0, -8.0, -4.0, -4.0, 0.05, 0.5, 0.5
@@ -90,9 +91,19 @@ def _marks(attributes: str) -> tuple[bool, bool]:
     return bool(words & CONTENT_WORDS), bool(words & BOILERPLATE_WORDS)
 
 
+@lru_cache(maxsize=10_000)
+def _hidden(attributes: str) -> bool:
+    """Whether an element's own attributes hide it."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if name == "hidden" and value.strip().lower() != "until-found" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _UNSHOWN.search(value):
+            return True
+    return False
+
+
 def _child(tag: str, attributes: str, parent: Element) -> Element:
     new = Element(tag, parent, parent.content, parent.boilerplate, parent.header, parent.dropped, parent.linked or tag == "a")
-    if tag in DROPPED_TAGS or ("hidden" in attributes or "none" in attributes) and _HIDDEN.search(attributes):
+    if tag in DROPPED_TAGS or attributes and _hidden(attributes):
         new.dropped = True
     if tag in CONTENT_TAGS:
         new.content = True

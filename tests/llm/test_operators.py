@@ -175,6 +175,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section id="comments"><article><p>I liked this post very much, thanks for writing it.</p></article></section><aside>Side</aside><form><p>Your name</p><input></form><footer>&copy; x</footer></body>"""
 
 
+def test_only_hidden_elements_are_dropped():
+    body = "<p>The first plain sentence of a long article, with words enough. And a second one follows it.</p>"
+    shown = ['style="overflow:hidden"', "style='overflow: hidden'", 'class="post overflow-hidden"', 'class="hidden-print article"', 'aria-hidden="false"', 'data-hidden="1"', 'hidden="until-found"', 'title="display:none"', 'style="backface-visibility:hidden"']
+    gone = ["hidden", 'HIDDEN=""', 'class="post" hidden', 'style="color:red; Display : NONE"', "style='visibility:hidden'", "style=display:none!important", "aria-hidden=true"]
+    for tag in ("article", "div"):
+        assert [a for a in shown if html.blocks_of(f"<body><{tag} {a}>{body}</{tag}></body>")] == shown
+        assert [a for a in gone if not html.blocks_of(f"<body><{tag} {a}>{body}</{tag}></body>")] == gone
+
+
 def test_extraction(spark):
     rows = [(1, PAGE), (2, None), (3, ""), (4, "<!-- open"), (5, "<p>" + "A long plain paragraph of words. " * 5000), (1, PAGE)]
     got = spark.createDataFrame(rows, "page_id long, html string").select("page_id", html.main_text(F.col("html")).alias("t")).collect()
