@@ -1,13 +1,14 @@
 """Near-duplicate documents by SimHash fingerprints and multi-index hashing.
 
-``links`` finds all pairs of fingerprints at two or fewer differing bits without
-ever listing pairs. Every fingerprint enters the index under the codes of a Hamming
-ball of radius one, enumerated segment by segment: the segment with one bit flipped
-beside the other segments as they are. Two fingerprints are at two or fewer bits
-exactly if they meet in a code, and no code can hold more than ``bits + 1`` of them,
-so buckets stay bounded whatever the data. Each member of a bucket is linked to the
-bucket's smallest, and the complete distance is verified; members of a bucket that
-are linked to its smallest are linked to one another.
+``links`` finds the pairs of fingerprints at ``DISTANCE`` or fewer differing bits. Each
+segment of the fingerprint has a table, keyed by segment and value. A fingerprint probes
+it with the Hamming ball around its own value, of radius ``DISTANCE // segments``: two
+fingerprints that close agree to within that radius in some segment. The complete
+distance of what the table returns is verified. A value that more than ``HOT``
+fingerprints share is split by the ball around the rest of the fingerprint: its members
+then meet under whole codes, no code holds more than ``bits + 1`` of them, all of these
+lie within the distance of one another, and each is linked to the smallest only. So no
+bucket grows with the data and no group's pairs are listed.
 
 ``near_copies`` is the looser search for copies by Jaccard similarity of word
 shingles. Texts meet in the shingles of their prefixes: of n shingles in one order
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -45,6 +46,10 @@ from .common import cut_lineage
 from .graph import components
 
 SEED = 42
+#: Fingerprints at this many or fewer differing bits are linked.
+DISTANCE = 2
+#: A segment's value that more fingerprints share is split by the rest of the fingerprint.
+HOT = 16
 #: Sets of fewer shingles are compared whatever their fingerprints.
 FEW_SHINGLES = 32
 #: Texts whose shingles are counted to order them, and the count from which one is common; the order changes no result.
@@ -106,18 +111,50 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", t
     return chosen.mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def links(prints: DataFrame, segments: int = 2) -> DataFrame:
-    """``u, v``: links whose components are those of all pairs of fingerprints at two or fewer bits.
+def _flips(value: Column, width: int, begin: int) -> Column:
+    """The values with one bit that is 0 in ``value``, of ``width`` bits from ``begin`` on, set."""
+    bits = F.array(*(F.lit(1 << (begin + k) if begin + k < 63 else -(1 << 63)) for k in range(width)))
+    return F.transform(F.filter(bits, lambda bit: value.bitwiseAND(bit) == 0), lambda bit: value.bitwiseOR(bit))
 
-    ``prints`` has a column ``fingerprint``; equal fingerprints need no link.
+
+def _ball(value: Column, width: int, begin: int) -> Column:
+    """``value`` and those that differ in one of ``width`` bits from ``begin`` on."""
+    bits = F.array(*(F.lit(1 << (begin + k) if begin + k < 63 else -(1 << 63)) for k in range(width)))
+    return F.concat(F.array(value), F.transform(bits, lambda bit: value.bitwiseXOR(bit)))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """``u, v``: links whose components are those of all pairs of fingerprints at ``DISTANCE`` or fewer bits.
+
+    ``prints`` has a column ``fingerprint``; equal fingerprints need no link. With two
+    segments of 32 bits and two differing bits, the balls have radius one. Of two values
+    that differ in one bit, the one without it probes the other's table entry.
     """
-    width = 64 // segments
     distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    balls = [F.transform(F.sequence(F.lit(s * width), F.lit((s + 1) * width - 1)), lambda bit: F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))) for s in range(segments)]
-    entries = distinct.select("fingerprint", F.explode(F.concat(F.array("fingerprint"), *balls)).alias("code"))
-    # a bucket has at most 65 fingerprints: its window is bounded
-    smallest = entries.selectExpr("fingerprint as u", "min(fingerprint) over (partition by code) as v")
-    return smallest.where("u <> v and bit_count(u ^ v) <= 2").distinct()
+    x, masks = F.col("fingerprint"), (0xFFFFFFFF, -(1 << 32))
+
+    def key(segment: int):
+        return lambda value: F.struct(F.lit(segment).alias("segment"), value.alias("value"))
+
+    own = [key(s)(x.bitwiseAND(F.lit(mask))) for s, mask in enumerate(masks)]
+    probes = [F.transform(_flips(x.bitwiseAND(F.lit(mask)), 32, 32 * s), key(s)) for s, mask in enumerate(masks)]
+    table = distinct.select("fingerprint", F.explode(F.array(*own)).alias("at")).select("fingerprint", "at.segment", "at.value")
+    probing = distinct.select(F.col("fingerprint").alias("probe"), F.explode(F.concat(F.array(*own), *probes)).alias("at")).select("probe", "at.segment", "at.value")
+    sizes = table.groupBy("segment", "value").agg(F.count("*").alias("size"), F.min("fingerprint").alias("least"))
+    # values that nothing else probes drop out here; what is left are a few rows a group of near fingerprints
+    met = cut_lineage(probing.join(sizes, ["segment", "value"]).where("size > 1 or probe <> least"))
+    cold = met.where(F.col("size") <= HOT)
+    single = cold.where("size = 1").select(F.col("probe").alias("u"), F.col("least").alias("v"))
+    several = cold.where("size > 1").join(table, ["segment", "value"]).select(F.col("probe").alias("u"), F.col("fingerprint").alias("v"))
+    verified = single.unionAll(several).where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE))
+    rest = [F.col("probe").bitwiseAND(F.lit(mask)) for mask in reversed(masks)]
+    same = F.col("probe").bitwiseAND(F.when(F.col("segment") == 0, F.lit(masks[0])).otherwise(F.lit(masks[1]))) == F.col("value")
+    around = F.when(F.col("segment") == 0, _ball(rest[0], 32, 32)).otherwise(_ball(rest[1], 32, 0))
+    centre = F.array(F.when(F.col("segment") == 0, rest[0]).otherwise(rest[1]))
+    hot = met.where(F.col("size") > HOT).select("probe", "segment", "value", F.explode(F.when(same, around).otherwise(centre)).alias("rest"))
+    # at most 65 members a code
+    stars = hot.selectExpr("probe as u", "min(probe) over (partition by segment, value, rest) as v").where("u <> v")
+    return verified.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
 def groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
