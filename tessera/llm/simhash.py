@@ -10,17 +10,21 @@ then meet under whole codes, no code holds more than ``bits + 1`` of them, all o
 lie within the distance of one another, and each is linked to the smallest only. So no
 bucket grows with the data and no group's pairs are listed.
 
-``near_copies`` is the looser search for copies by Jaccard similarity of word
-shingles. Texts meet in the shingles of their prefixes: of n shingles in one order
-common to all texts, the first n - ceil(similarity * n) + 1. Two sets that are similar
-enough share one of these in whatever order, so none is lost. The order puts shingles
-that are common in a sample last, so that buckets stay small. Pairs then pass a filter
-by size, which is exact, and one by the distance of 128-bit fingerprints of the
-shingles, five deviations beyond what the similarity shows; exact similarities of whole
-texts decide. A bucket may hold a whole family of copies, so it first offers only the
-member nearest to its majority as partner of the others; then every member's nearest
-partners in other components, more of them each round, until every pair of a bucket
-that passes the filters is verified or lies within one component.
+``near_copies`` is the looser search for copies by Jaccard similarity of word shingles.
+It first joins texts whose fingerprints ``links`` finds. At a similarity of 0.8 two
+64-bit fingerprints lie some ten bits apart, which no table of segments finds without
+losing pairs, so a second index completes the search: texts meet in the shingles of
+their prefixes. Of n shingles in one order common to all texts these are the first
+n - ceil(similarity * n) + 1, and two sets that are similar enough share one of them. The
+order puts shingles last that are common in all texts, counted in ``BINS`` bins. Pairs
+pass a filter by size, which is exact, and one by the distance of 128-bit fingerprints,
+five deviations beyond what the similarity shows; exact similarities of whole texts
+decide. Every text first meets the nearest of the members that its buckets prefer. What
+is left are buckets whose members lie in several groups: their pairs across groups that
+pass the filters make clusters, and within a cluster all such pairs are decided by their
+whole sets of shingles, in the task that compares them. So every pair that passes the
+filters is decided or lies within one group, and no pairs are written. A bucket or
+cluster larger than a block is compared in pairs of blocks, so that no task holds it.
 
 Edge cases: null and empty texts have no words and fingerprint zero; a text with
 fewer words than a shingle is one shingle; repeated rows and equal texts have equal
@@ -52,13 +56,11 @@ DISTANCE = 2
 HOT = 16
 #: Sets of fewer shingles are compared whatever their fingerprints.
 FEW_SHINGLES = 32
-#: Texts whose shingles are counted to order them, and the count from which one is common; the order changes no result.
-SAMPLE_TEXTS, COMMON = 20_000, 5
-#: Partners that a member of a bucket gets in the first round across components, and their growth by round.
-PARTNERS, GROWTH = 4, 8
-#: Members of a bucket compared with all others at once.
-ROWS_A_BLOCK = 256
-#: Ids and pairs up to this number (24 bytes each) are broadcast to pick their texts; beyond it the texts are shuffled.
+#: Bins that shingles are counted in, to order them; the order changes no result.
+BINS = 1 << 20
+#: Members of a bucket, and shingles of a cluster, that a task compares with one another; members compared with all others at once.
+BLOCK, BLOCK_SHINGLES, ROWS_AT_ONCE = 8192, 2_000_000, 256
+#: Ids up to this number (8 bytes each) are broadcast to pick their texts; beyond it the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at once; bounds a task's memory for very long texts.
 CHUNK = 1 << 16
@@ -169,11 +171,6 @@ def groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_co
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def _distinct_shingles(text: str | None, size: int) -> np.ndarray:
-    chunks = [*shingle_hashes(words_of(text), size)]
-    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, dtype="<u8")
-
-
 def _mixed(hashes: np.ndarray) -> np.ndarray:
     """A second hash from the first, by SplitMix64."""
     x = hashes + np.uint64(0x9E3779B97F4A7C15)
@@ -182,51 +179,93 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _byte_values() -> np.ndarray:
+    """A random number for each byte, A-Z as a-z; 0 for white space."""
+    lower = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+    values = _mixed(np.arange(256, dtype=np.uint64))[lower]
+    values[list(b"\t\n\v\f\r ")] = 0
+    return values
+
+
+class ShingleHasher:
+    """Hashes of a text's different shingles: polynomials over the bytes of its words, and over their hashes."""
+
+    BASE = 0x9E3779B97F4A7C15
+    VALUES = _byte_values()
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def _grow(self, n: int) -> None:
+        n = 1 << n.bit_length()
+        inverse = pow(self.BASE, -1, 1 << 64)
+        self.powers, self.inverses = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, base, dtype=np.uint64)))) for base in (self.BASE, inverse))
+
+    def words(self, text: str | None) -> np.ndarray:
+        """A hash of each word, those of ``words_of``."""
+        values = self.VALUES[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+        if len(values) > len(self.powers):
+            self._grow(len(values))
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], values != 0, [False]))))
+        begins, ends = edges[::2], edges[1::2]
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * self.powers[: len(values)], dtype=np.uint64)))
+        return _mixed((sums[ends] - sums[begins]) * self.inverses[begins] + (ends - begins).astype(np.uint64))
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """Sorted; the whole sequence is one shingle where it is shorter."""
+        words = self.words(text)
+        if not len(words):
+            return words
+        size = min(self.size, len(words))
+        rows = len(words) - size + 1
+        out = np.full(rows, size, dtype=np.uint64)
+        for k in range(size):
+            out = out * np.uint64(self.BASE) + words[k : k + rows]
+        out = np.sort(_mixed(out))
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
 def far_bits(similarity: float) -> int:
     """Of 128 bits: the mean and five deviations for two sets of this similarity, the largest angle it allows."""
     share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     return math.ceil(128 * share + 5 * math.sqrt(128 * share * (1 - share)))
 
 
-def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """The shingles common in a sample of ``docs`` (id, text), rarest first."""
+def _counted(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts of ``docs`` (id, text) fall in each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, hasher = np.zeros(BINS, dtype=np.int64), ShingleHasher(shingle)
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_distinct_shingles(text, shingle).view("<i8"))], names=["hash"])
+                counts[(hasher.shingles(text) % np.uint64(BINS)).astype(np.int64)] += 1
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["bin", "n"])
 
-    parts = max(1, docs.count() // SAMPLE_TEXTS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
-    counted = sample.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= COMMON).toArrow()
-    hashes, counts = (counted.column(k).to_numpy() for k in range(2))
-    return hashes[np.lexsort((hashes, counts))].view("<u8")
+    found = docs.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most BINS rows
+    counts = np.zeros(BINS, dtype=np.int64)
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def prefixes(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, size, left, right, codes``: the text's MD5, number of shingles, their fingerprint and prefix."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    ship_package(docs.sparkSession)
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(chosen, shingle))
+def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``doc_id, digest, size, left, right, codes`` of ``docs`` (id, text): MD5, number of shingles, their fingerprint and prefix."""
+    counts = docs.sparkSession.sparkContext.broadcast(_counted(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.argsort(common.value)
-        known = common.value[places]
+        hasher = ShingleHasher(shingle)
 
         def prefix(hashes: np.ndarray) -> np.ndarray:
             wanted = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-            if not len(known) or not len(hashes):
-                return hashes[:wanted]
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            often = known[at] == hashes
-            rare = hashes[~often][:wanted]
-            return np.concatenate([rare, common.value[np.sort(places[at[often]])[: wanted - len(rare)]]])
+            return hashes[np.lexsort((hashes, counts.value[hashes % np.uint64(BINS)]))[:wanted]]
 
         for batch in batches:
             digests, sizes, left, right, codes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 digests.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
-                hashes = _distinct_shingles(text, shingle)
+                hashes = hasher.shingles(text)
                 sizes.append(len(hashes))
                 for out, mixed in ((left, hashes), (right, _mixed(hashes))):
                     chunks = (mixed[k : k + CHUNK] for k in range(0, len(mixed), CHUNK))
@@ -236,42 +275,42 @@ def prefixes(docs: DataFrame, similarity: float, shingle: int, id_col: str, text
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(codes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "size", "left", "right", "codes"])
 
-    return chosen.mapInArrow(run, "doc_id long, digest binary, size long, left long, right long, codes array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, size long, left long, right long, codes array<long>")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns of whole buckets of two members or more, from rows sorted by the first column; where buckets begin."""
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of one bucket after another, from rows sorted by the first three columns, its key."""
 
-    def shared(table: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        code = table[0]
-        same = code[1:] == code[:-1]
-        kept = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        table = [c[kept] for c in table]
-        return table, np.flatnonzero(np.concatenate(([True], table[0][1:] != table[0][:-1]))) if kept.any() else np.zeros(0, dtype=int)
+    def whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+        return parts[0].columns if len(parts) == 1 else [pa.concat_arrays(c) for c in zip(*(p.columns for p in parts), strict=True)]
 
-    held: list[list[np.ndarray]] = []
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        last = held[-1][0][-1]
-        if held[0][0][0] != last and sum(len(h[0]) for h in held) >= CHUNK:
-            table = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = np.argmax(table[0] == last)
-            found = shared([c[:cut] for c in table])
-            held = [[c[cut:] for c in table]]
-            if len(found[1]):
-                yield found
+        keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+        begins = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+        for a, b in zip([0, *begins], [*begins, batch.num_rows], strict=True):
+            key = tuple(int(c[a]) for c in keys)
+            if held and key != last:
+                yield whole(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
     if held:
-        found = shared([np.concatenate(c) for c in zip(*held, strict=True)])
-        if len(found[1]):
-            yield found
+        yield whole(held)
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries whose bucket has other members."""
-    for table, _ in _buckets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], names=["code", "id", "root", "size", "left", "right"])
+def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the sets of i and j; each entry of ``parent`` is its set's smallest."""
+    while len(i):
+        low, high = np.minimum(parent[i], parent[j]), np.maximum(parent[i], parent[j])
+        apart = low != high
+        i, j, low, high = i[apart], j[apart], low[apart], high[apart]
+        np.minimum.at(parent, high, low)
+        while np.any(parent != (up := parent[parent])):
+            parent[:] = up
 
 
 def _may_match(similarity: float, apart, size, other):
@@ -279,60 +318,62 @@ def _may_match(similarity: float, apart, size, other):
     return (few | (apart <= far_bits(similarity))) & (np.minimum(size, other) >= similarity * np.maximum(size, other) - 1e-9)
 
 
-def _stars(similarity: float):
-    """Each bucket's members with the one nearest to its majority: ``id, partner, apart, more``."""
+def _comparable(similarity: float, rows: slice, root: np.ndarray, block: np.ndarray, two: bool, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of some rows of a bucket may match which members of other groups, and of the other block where there are two."""
+    apart = np.bitwise_count(bits[rows, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+    fits = (root[rows, None] != root[None]) & _may_match(similarity, apart, size[rows, None], size[None])
+    return fits & (block[rows, None] != block[None]) if two else fits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, ids, _, size, *bits), begins in _buckets(batches):
-            counts = np.diff(np.append(begins, len(ids)))
-            bucket = np.repeat(np.arange(len(begins)), counts)
-            bits = np.stack(bits, axis=1).view(np.uint64)
-            ones = np.stack([np.add.reduceat((bits[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(np.int32), begins) for k in range(128)], axis=1)
-            middle = np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<u8")
-            away = np.bitwise_count(bits ^ middle[bucket]).sum(axis=1, dtype=np.int64)
-            pivot = np.lexsort((ids, away, bucket))[begins][bucket]
-            apart = np.bitwise_count(bits ^ bits[pivot]).sum(axis=1, dtype=np.int64)
-            kept = (ids != ids[pivot]) & _may_match(similarity, apart, size, size[pivot])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(ids[pivot][kept]), pa.array(apart[kept]), pa.array(np.zeros(kept.sum(), dtype=bool))], names=["id", "partner", "apart", "more"])
-
-    return run
 
-
-def _split(done: int):
-    """The entries of buckets in several components, without those whose members have met ``done`` partners, that is all."""
+def _clusters(similarity: float):
+    """Each bucket's members that may match members of other groups: ``u``, and a member ``v`` of the same cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in _buckets(batches):
-            root, counts = table[2], np.diff(np.append(begins, len(table[0])))
-            open_ = (np.minimum.reduceat(root, begins) != np.maximum.reduceat(root, begins)) & (counts > done + 1)
-            kept = np.repeat(open_, counts)
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in table], names=["code", "id", "root", "size", "left", "right"])
+        for columns in _buckets(batches):
+            first, second, block, ids, root, size, *bits = (c.to_numpy() for c in columns[1:])
+            bits = np.stack(bits, axis=1).view(np.uint64)
+            parent, met = np.arange(len(ids)), np.zeros(len(ids), dtype=bool)
+            for k in range(0, len(ids), ROWS_AT_ONCE):
+                i, j = np.nonzero(_comparable(similarity, slice(k, k + ROWS_AT_ONCE), root, block, first[0] != second[0], size, bits))
+                _unite(parent, i + k, j)
+                met[i + k] = True
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(ids[parent[met]])], names=["u", "v"])
 
     return run
 
 
-def _across(similarity: float, partners: int):
-    """Each member with its nearest partners of other components in its buckets; whether there are more."""
+def _links_across(similarity: float):
+    """Links between groups by exact similarity of shingle sets, as many as join the groups of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, ids, root, size, *bits), begins in _buckets(batches):
-            bits = np.stack(bits, axis=1).view(np.uint64)
-            for a, b in zip(begins, [*begins[1:], len(ids)], strict=True):
-                for k in range(a, b, ROWS_A_BLOCK):
-                    rows = slice(k, min(b, k + ROWS_A_BLOCK))
-                    apart = np.bitwise_count(bits[rows, None] ^ bits[None, a:b]).sum(axis=2, dtype=np.int64)
-                    fits = (root[rows, None] != root[None, a:b]) & _may_match(similarity, apart, size[rows, None], size[None, a:b])
-                    apart[~fits] = 999
-                    more = fits.sum(axis=1) > partners
-                    if more.any():
-                        nearest = np.argpartition(apart, partners - 1, axis=1)[:, :partners]
-                        chosen = np.zeros_like(fits)
-                        np.put_along_axis(chosen, nearest, True, axis=1)
-                        fits &= chosen
-                    i, j = np.nonzero(fits)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows][i]), pa.array(ids[a:b][j]), pa.array(apart[i, j]), pa.array(more[i])], names=["id", "partner", "apart", "more"])
+        for columns in _buckets(batches):
+            first, second, block, ids, root, size, left, right = (c.to_numpy() for c in columns[1:-1])
+            bits = np.stack((left, right), axis=1).view(np.uint64)
+            sets = [np.frombuffer(s, dtype="<u8") for s in columns[-1].to_pylist()]
+            known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum([len(s) for s in sets])
+            members = [numbers[b - len(s) : b] for b, s in zip(ends, sets, strict=True)]
+            _, groups, parent = np.unique(root, return_index=True, return_inverse=True)
+            parent = groups[parent]
+            mine, out = np.zeros(len(known), dtype=bool), []
+            for k in range(0, len(ids), ROWS_AT_ONCE):
+                fits = _comparable(similarity, slice(k, k + ROWS_AT_ONCE), root, block, first[0] != second[0], size, bits)
+                for x in range(k, min(k + ROWS_AT_ONCE, len(ids))):
+                    others = np.flatnonzero(fits[x - k] & (parent != parent[x]))
+                    others = others[others < x]
+                    if not len(others):
+                        continue
+                    mine[members[x]] = True
+                    both = np.array([np.count_nonzero(mine[members[y]]) for y in others])
+                    mine[members[x]] = False
+                    alike = others[both >= similarity * (size[x] + size[others] - both) - 1e-9]
+                    for y in alike[np.unique(parent[alike], return_index=True)[1]].tolist():
+                        out.append((ids[x], ids[y]))
+                    _unite(parent, np.full(len(alike), x), alike)
+            if out:
+                u, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -340,74 +381,86 @@ def _across(similarity: float, partners: int):
 def _similarity(shingle: int):
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, mine = [], None, None
+        out, last, mine, hasher = [], None, None, ShingleHasher(shingle)
         for a, b in zip(left, right, strict=True):
             if mine is None or a != last:
-                last, mine = a, _distinct_shingles(a, shingle)
-            other = _distinct_shingles(b, shingle)
+                last, mine = a, hasher.shingles(a)
+            other = hasher.shingles(b)
             both = len(np.intersect1d(mine, other, assume_unique=True))
             out.append(both / (len(mine) + len(other) - both) if both else float(len(mine) == len(other) == 0))
-        return pd.Series(out)
+        return pd.Series(out, dtype=float)
 
     return jaccard
 
 
+def _in_block_pairs(members: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """``members`` with ``first, second, block``: a key's rows dealt to blocks of at most about ``most`` in all, each with each."""
+    sizes = members.groupBy(key).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    dealt = members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("blocks", "other")
+
+
 def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id`` for the documents that have copies: equal texts, or texts linked by shingle similarity.
 
     ``group_id`` is the group's smallest id. Documents without copies are not listed.
     """
-    prints = cut_lineage(prefixes(docs, similarity, shingle, id_col, text_col))
-    texts = cut_lineage(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("copies")))
-    firsts = prints.join(texts.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"])
-    schema = "code long, id long, root long, size long, left long, right long"
-    entries = firsts.select(F.explode("codes").alias("code"), F.col("doc_id").alias("id"), F.col("doc_id").alias("root"), "size", "left", "right")
-
-    def by_code(frame: DataFrame) -> DataFrame:
-        return frame.repartition("code").sortWithinPartitions("code")
-
-    entries = cut_lineage(by_code(entries).mapInArrow(_meeting, schema))
-    pairs = "id long, partner long, apart long, more boolean"
-    # a checkpoint keeps partitions and their order
-    near = cut_lineage(entries.mapInArrow(_stars(similarity), pairs).select("id", "partner", "apart").distinct())
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar enough, by their whole texts."""
-        small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda frame: frame
-        left = source.join(small(pairs), "id").select("id", "partner", F.col("text").alias("own_text"))
-        right = source.join(small(pairs.select(F.col("partner").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("partner"), F.col("text").alias("their_text"))
-        both = left.join(right, "partner")
-        return cut_lineage(both.select("id", "partner", _similarity(shingle)("their_text", "own_text").alias("jaccard")).where(F.col("jaccard") >= similarity).select(F.col("id").alias("u"), F.col("partner").alias("v")))
-
-    # first the nearest partner of each text; then the pairs that would still join two groups
-    nearest = near.groupBy("id").agg(F.min_by("partner", F.col("apart") * F.lit(1 << 40) + F.pmod(F.xxhash64("partner"), F.lit(1 << 40))).alias("partner"))
-    nearest = cut_lineage(nearest)
-    found = verified(nearest)
+    ship_package(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    prints = cut_lineage(prefixes(source, similarity, shingle))
+    own = F.struct("doc_id", "size", "left", "right", "codes")
+    texts = cut_lineage(prints.groupBy("digest").agg(F.min(own).alias("own"), F.count("*").alias("copies")).select("digest", "copies", F.col("own.doc_id").alias("id"), "own.size", "own.left", "own.right", "own.codes"))
+    shapes = texts.select("id", "size", "left", "right")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """``id, text`` of some ids."""
+        small = F.broadcast if ids.count() <= BROADCAST_ROWS else lambda frame: frame
+        return source.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").dropDuplicates(["id"])
+
+    # pairs of equal or linked fingerprints
+    first = cut_lineage(texts.groupBy(F.col("left").alias("fingerprint")).agg(F.min("id").alias("first")))
+    of_u, of_v = (first.select(F.col("fingerprint").alias(c), F.col("first").alias(n)) for c, n in (("u", "id"), ("v", "partner")))
+    near = links(first).join(of_u, "u").join(of_v, "v").select("id", "partner")
+    equal = shapes.join(first, F.col("left") == F.col("fingerprint")).where("id <> first").select("id", F.col("first").alias("partner"))
+
+    # each text's buckets that have other members, and its nearest of those that their buckets prefer
+    entries = texts.select(F.explode("codes").alias("code"), "id")
+    buckets = entries.groupBy("code").agg(F.min("id").alias("partner"), F.max("id").alias("last")).where("partner <> last")
+    entries = cut_lineage(entries.join(buckets.select("code", "partner"), "code"))
+    theirs = shapes.select(F.col("id").alias("partner"), F.col("size").alias("their_size"), F.col("left").alias("their_left"), F.col("right").alias("their_right"))
+    apart = F.bit_count(F.col("left").bitwiseXOR(F.col("their_left"))) + F.bit_count(F.col("right").bitwiseXOR(F.col("their_right")))
+    low, high = F.least("size", "their_size"), F.greatest("size", "their_size")
+    may_match = ((low < FEW_SHINGLES) | (F.col("apart") <= far_bits(similarity))) & (low >= similarity * high - 1e-9)
+    stars = entries.where("id <> partner").select("id", "partner").distinct().join(shapes, "id").join(theirs, "partner").withColumn("apart", apart).where(may_match)
+    nearest = stars.groupBy("id").agg(F.min(F.struct("apart", F.xxhash64("partner").alias("p"), "partner")).alias("best"))
+    pairs = near.unionAll(equal).unionAll(nearest.select("id", F.col("best.partner").alias("partner")))
+    pairs = cut_lineage(pairs.select(F.least("id", "partner").alias("id"), F.greatest("id", "partner").alias("partner")).distinct())
+    both = cut_lineage(texts_of(pairs.select(F.explode(F.array("id", "partner")).alias("id")).distinct()))
+    alike = pairs.join(both.withColumnRenamed("text", "own_text"), "id").join(both.select(F.col("id").alias("partner"), F.col("text").alias("their_text")), "partner")
+    found = cut_lineage(alike.where(_similarity(shingle)("own_text", "their_text") >= similarity).select(F.col("id").alias("u"), F.col("partner").alias("v")))
     roots = cut_lineage(components(found))
-    of_id = roots.select(F.col("node").alias("id"), F.col("root").alias("root_id"))
-    of_partner = roots.select(F.col("node").alias("partner"), F.col("root").alias("root_partner"))
-    rest = near.join(nearest.withColumn("tried", F.lit(True)), ["id", "partner"], "left").where("tried is null")
-    rest = rest.join(of_id, "id", "left").join(of_partner, "partner", "left").select(F.coalesce("root_id", "id").alias("a"), F.coalesce("root_partner", "partner").alias("b"), "id", "partner").where("a <> b")
-    rest = cut_lineage(rest.select("id", "partner").distinct())
-    found = found.unionAll(verified(rest))
-    ordered = [F.least("id", "partner").alias("id"), F.greatest("id", "partner").alias("partner")]
-    tried = nearest.unionAll(rest).select(*ordered).distinct()
-    # then all pairs of a bucket that would join two components, the nearest first
-    partners, done = PARTNERS, 1
-    while True:
-        roots = cut_lineage(components(found))
-        rooted = entries.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").select("code", "id", F.coalesce("root", "id").alias("root"), "size", "left", "right")
-        entries = cut_lineage(by_code(rooted).mapInArrow(_split(done), schema))
-        split = entries.mapInArrow(_across(similarity, partners), pairs)
-        split = cut_lineage(split.select(*ordered, "more").groupBy("id", "partner").agg(F.max("more").alias("more")))
-        new = cut_lineage(split.join(tried, ["id", "partner"], "left_anti").select("id", "partner"))
-        found = cut_lineage(found.unionAll(verified(new)))
-        if split.where("more").isEmpty():
-            break
-        tried = cut_lineage(tried.unionAll(new))
-        partners, done = partners * GROWTH, partners
+
+    # buckets in several groups, and clusters of their members that may match across groups
+    rooted = cut_lineage(entries.select("code", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    split = rooted.groupBy("code").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("code")
+    dealt = _in_block_pairs(rooted.join(split, "code"), "code", F.lit(1), BLOCK).join(shapes, "id")
+    keys = ["code", "first", "second"]
+    dealt = dealt.select(*keys, "block", "id", "root", "size", "left", "right").repartition(*keys).sortWithinPartitions(*keys)
+    clusters = cut_lineage(components(cut_lineage(dealt.mapInArrow(_clusters(similarity), "u long, v long").distinct())))
+
+    # exact similarities of all pairs of a cluster across groups
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = ShingleHasher(shingle)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    members = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sets = texts_of(clusters.select(F.col("node").alias("id"))).mapInArrow(sets_of, "id long, shingles binary")
+    dealt = _in_block_pairs(members.join(shapes, "id"), "cluster", F.col("size") + 1, BLOCK_SHINGLES).join(sets, "id")
+    keys = ["cluster", "first", "second"]
+    dealt = dealt.select(*keys, "block", "id", "root", "size", "left", "right", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    found = found.unionAll(cut_lineage(dealt.mapInArrow(_links_across(similarity), "u long, v long")))
     roots = components(found)
     rooted = texts.select("digest", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", "id", "copies", F.coalesce("root", "id").alias("root"))
     rooted = cut_lineage(rooted)
