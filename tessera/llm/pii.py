@@ -7,14 +7,15 @@ that it has no fixed point: no value stands for itself. Equal values, however th
 are punctuated, get equal pseudonyms in every document. Check digits are made
 valid again. Values and their ranges:
 
-card     13 to 19 digits with a valid Luhn sum; the first digit stays
+card     13 to 19 digits that begin and are as many as an issuer's, with a valid Luhn sum; the first digit stays
 iban     valid remainder modulo 97; country and letters' places stay
 ssn      three groups that are assigned at all
-phone    a + and 8 to 15 digits, or a ten-digit North American number; the country code, brackets and a 555 exchange stay
-ip       four octets
+phone    a + and 8 to 15 digits, or a ten-digit North American number; the country code's first digits, brackets and a 555 exchange stay
+ip       four octets, or an address of eight groups of hexadecimal digits, some of them left out
 date     a day from 1900 to 2099 as year-month-day, or day and month before the year
 email    letters and digits before the @; the domain stays
-secret   32 or more hexadecimal digits, or what is assigned to a key, token, secret or password
+secret   32 or more hexadecimal digits of either case, three dotted parts of which the first begins as an encoded brace,
+         or what is assigned to a key, token, secret or password
 
 Edge cases: a null text stays null and an empty one empty; whole texts are scanned;
 a value inside a longer word or number is left alone;
@@ -27,7 +28,9 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+from bisect import bisect, insort
 from functools import lru_cache
 
 import pandas as pd
@@ -48,19 +51,31 @@ _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # days from 1900 t
 _AT = re.compile(r"@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _PATTERNS = {
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![0-9A-Za-z])|\b(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([A-Za-z0-9_+/=-]{8,}+)"),
+    "secret": re.compile(
+        r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
+        r"|(?<![0-9A-Za-z_.-])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"
+        r"|\b(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?=[0-9A-Za-z_+/=.-]{8})([0-9A-Za-z_+/=-]++(?:\.[0-9A-Za-z_+/=-]++)*+)"
+    ),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     "date": re.compile(r"(?<![0-9./-])(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{1,2})([/.])([0-9]{1,2})\5([0-9]{4}))(?![0-9/-]|\.[0-9])"),
     "ssn": re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|(?<![0-9A-Za-z.+-])\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])"),
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
-    "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])|(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){2,7}:?|::|[0-9A-Fa-f]{1,4}::)(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
 }
 
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
 
+#: First digits of card numbers, from and to, and how many digits they may have.
+CARD_RANGES = (("1", "1", {15}), ("2221", "2720", {16}), ("300", "305", {14}), ("34", "34", {15}), ("35", "35", {16, 17, 18, 19}), ("36", "36", {14}), ("37", "37", {15}), ("38", "39", {14}), ("4", "4", {13, 16, 19}), ("50", "50", {13, 14, 15, 16, 17, 18, 19}), ("51", "55", {16}), ("56", "69", {13, 14, 15, 16, 17, 18, 19}))
+
+
+def _issued(digits: str) -> bool:
+    return any(a <= digits[: len(a)] <= b and len(digits) in sizes for a, b, sizes in CARD_RANGES)
+
+
 def _likely_length(kind: str, plain: str) -> int:
     """Letters and digits of the value that ``plain`` begins with, 0 if that is open."""
     if kind == "iban":
@@ -113,14 +128,19 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def _assignable(local: str) -> bool:
+    """Whether ten digits are a North American number."""
+    return len(local) == 10 and local[0] > "1" and local[3] > "1"
+
+
 def iban_digits(country: str, rest: str) -> str:
     """The two check digits."""
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
-def _spell(permute: Feistel, label: str, text: str, hexadecimal: bool = False) -> str:
-    """``text`` with its ASCII letters and digits permuted within their classes, the rest in place."""
-    sets = [next((s for s in ((_HEX,) if hexadecimal else (_DIGITS, _LOWER, _UPPER)) if c in s), "") for c in text]
+def _spell(permute: Feistel, label: str, text: str, *classes: str) -> str:
+    """``text`` with its characters permuted within classes, its ASCII letters' and digits' if none are given, the rest in place."""
+    sets = [next((s for s in classes or (_DIGITS, _LOWER, _UPPER) if c in s), "") for c in text]
     n, x = 1, 0
     for c, s in zip(text, sets, strict=True):
         if s:
@@ -157,8 +177,11 @@ class Pseudonyms:
 
     def _secret(self, value: str) -> str | None:
         pieces = [value[k : k + PIECE] for k in range(0, len(value), PIECE)]
-        if re.fullmatch(r"[0-9a-f]{32,}", value):
-            return "".join(_spell(self.permute, "hex", p, hexadecimal=True) for p in pieces)
+        if re.fullmatch(r"[0-9A-Fa-f]{32,}", value):
+            if value in (value.lower(), value.upper()):  # one secret in either case
+                found = "".join(_spell(self.permute, "hex", p.lower(), _HEX) for p in pieces)
+                return found if value == value.lower() else found.upper()
+            return "".join(_spell(self.permute, "hex", p, _HEX + "ABCDEF") for p in pieces)
         return "".join(_spell(self.permute, "secret", p) for p in pieces) if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) else None
 
     def _iban(self, value: str) -> str | None:
@@ -197,28 +220,45 @@ class Pseudonyms:
 
     def _phone(self, value: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", value)
-        local = digits[1:] if value[0] == "+" and digits[0] == "1" and len(digits) == 11 else digits
-        if value[0] != "+" or local is not digits:
-            if len(local) != 10 or local[0] < "2" or local[3] < "2":
-                return None
+        american = value[0] != "+" or digits[0] == "1" and len(digits) == 11
+        if american and _assignable(digits[-10:]):
+            local = digits[-10:]
             exchange = local[3:6] if local[3:6] == "555" else ""
             x = (int(local[0]) - 2) * 100 + int(local[1:3])
             x = x * 10_000 + int(local[6:]) if exchange else (x * 800 + int(local[3:6]) - 200) * 10_000 + int(local[6:])
             x, line = divmod(self.permute.stand_in(f"phone{exchange}", 8_000_000 if exchange else 6_400_000_000, x), 10_000)
             x, middle = (x, int(exchange)) if exchange else (x // 800, x % 800 + 200)
             return _dress(value, digits[: len(digits) - 10] + f"{x + 200:03d}{middle:03d}{line:04d}")
+        if value[0] != "+":
+            return None
+        if american:  # a number that can't be assigned: another such number
+            new = digits
+            while new == digits or _assignable(new[1:]):
+                new = "1" + _spell(self.permute, "phone1", new[1:])
+            return _dress(value, new)
         if not 8 <= len(digits) <= 15:
             return None
         return _dress(value, digits[:2] + _spell(self.permute, f"phone{digits[:2]}", digits[2:]))
 
     def _card(self, value: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", value)
-        if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+        if luhn_digit(digits[:-1]) != digits[-1] or not _issued(digits):
             return None
-        payload = digits[0] + _spell(self.permute, f"card{digits[0]}", digits[1:-1])
-        return _dress(value, payload + luhn_digit(payload))
+        payload = digits[:-1]
+        while True:  # to the next number that is an issuer's
+            payload = digits[0] + _spell(self.permute, f"card{digits[0]}", payload[1:])
+            if _issued(payload + "0"):
+                return _dress(value, payload + luhn_digit(payload))
 
     def _ip(self, value: str) -> str | None:
+        if ":" in value:
+            try:
+                number = int(ipaddress.IPv6Address(value))
+            except ValueError:
+                return None
+            if not re.search(r"[0-9]", value) or sum(map(bool, value.split(":"))) < 2:
+                return None
+            return str(ipaddress.IPv6Address(self.permute.stand_in("ipv6", 1 << 128, number)))
         octets = value.split(".")
         if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
             return None
@@ -243,8 +283,10 @@ class Pseudonyms:
         taken: list[tuple[int, int, str, str]] = []
 
         def take(kind: str, start: int, end: int) -> bool:
-            if all(end <= a or start >= b for a, b, *_ in taken) and (new := self.replace(kind, text[start:end])) is not None:
-                taken.append((start, end, kind, new))
+            at = bisect(taken, (start, end))
+            free = (not at or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end)
+            if free and (new := self.replace(kind, text[start:end])) is not None:
+                insort(taken, (start, end, kind, new))
                 return True
             return False
 
@@ -259,7 +301,7 @@ class Pseudonyms:
                 continue
             for m in _PATTERNS[kind].finditer(text):
                 take(kind, *m.span(1 if kind == "secret" and m[1] else 0))
-        return sorted(taken)
+        return taken
 
     def scrub(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
         """The text with pseudonyms; kind, start and end of each in it."""
