@@ -132,6 +132,14 @@ def test_pseudonyms_of_adjacent_values():
         alone, both = work.scrub(value)[0], work.scrub(f"pay {value}{rest}")
         assert alone != value and both[0].startswith(f"pay {alone} ") and value not in both[0]
         assert [k for k, *_ in both[1]][1:] == (["ip"] if "." in rest else [])
+    for value in ("+1 (017) 555-7713", "A9ECF9C9B99FE9999999B9B99BC999E9999B0011", "2001:db8::8a2e:370:7334", "FE80:0:0:0:202:B3FF:FE1E:8329", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.SflKxwRJSMeKKF2QT4"):
+        new, spans = work.scrub(f"see {value}, ok.")
+        assert len(spans) == 1 and value not in new and new.startswith("see ") and new.endswith(", ok.")
+    assert work.scrub("A9ECF9C9B99FE9999999B9B99BC999E9999B0011")[0].lower() == work.scrub("a9ecf9c9b99fe9999999b9b99bc999e9999b0011")[0]
+    new, spans = work.scrub("secret=aaaa1.bbbb2.cccc3. Then")
+    assert new[7:].endswith(". Then") and not any(x in new for x in ("aaaa1", "bbbb2", "cccc3")) and spans[0][1:] == (7, 24)
+    for plain in ("at 12:30:45", "std::abs", "call a::b now", "9807915762804490", "1234567890123452", "::1"):
+        assert work.scrub(plain) == (plain, [])
     # a number before a card
     assert "4111 1111 1111 1111" not in work.scrub("no 12 4111 1111 1111 1111")[0]
 
@@ -149,6 +157,18 @@ def test_pseudonyms_of_long_secrets():
             assert all(value[k : k + 40] not in new for k in range(0, size - 39, 20))
 
 
+def test_pseudonyms_of_many_values_in_a_text():
+    import time
+
+    work = pii.Pseudonyms("k")
+    values = [f"10.{k % 200}.{k // 200 % 250}.{k % 7}" for k in range(50_000)]
+    began = time.time()
+    text, spans = work.scrub(" x ".join(values))
+    assert len(spans) == len(values) and time.time() - began < 60
+    plain = {v: work._ip(v) for v in set(values[:500])}
+    assert text.split(" x ")[:500] == [plain[v] for v in values[:500]]
+
+
 # extraction
 
 
@@ -196,33 +216,114 @@ def test_extraction(spark):
 # models
 
 
-def test_language(spark):
-    rng = random.Random(2)
+def language_rows(seed=2, n=60):
+    rng = random.Random(seed)
     parts = {"aa": ["ka", "ro", "mi"], "bb": ["zu", "schi", "ö"]}
-    rows = [(k, " ".join("".join(rng.choice(p) for _ in range(3)) for _ in range(20)), lang) for k, (lang, p) in enumerate(list(parts.items()) * 60)]
+    return parts, [(k, " ".join("".join(rng.choice(p) for _ in range(3)) for _ in range(20)), lang) for k, (lang, p) in enumerate(list(parts.items()) * n)]
+
+
+def test_language(spark):
+    parts, rows = language_rows()
     frame = spark.createDataFrame([*rows, (900, None, "aa"), (901, "kakaka", None)], "doc_id long, text string, lang string")
     model = language.train(frame)
-    ask = spark.createDataFrame([(1, "karomikaro", "x"), (2, "zuzuschizuö", "x"), (3, None, "x"), (4, "12 !?", "x"), (5, "日本", "x"), (6, "karomi " * 200_000, "x"), (1, "karomikaro", "x")], "doc_id long, text string, score string")
+    ask = spark.createDataFrame([(1, "karomikaro", "x"), (2, "zuzuschizuö", "x"), (3, None, "x"), (4, "12 !?", "x"), (5, "日本", "x"), (6, "karomi " * 200_000, "x"), (7, "½ ² Ⅷ ①", "x"), (8, "", "x"), (1, "karomikaro", "x")], "doc_id long, text string, score string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(ask, model).collect()}
-    assert [got[k][0] for k in (1, 2, 3, 4, 6)] == ["aa", "bb", "und", "und", "aa"] and got[5][0] in parts
-    assert all(0 <= s <= 1 for _, s in got.values()) and got[3][1] == 0
+    assert [got[k][0] for k in (1, 2, 3, 4, 6, 7, 8)] == ["aa", "bb", "und", "und", "aa", "und", "und"] and got[5][0] in parts
+    assert all(0 <= s <= 1 for _, s in got.values()) and got[3][1] == got[7][1] == 0
     empty = language.train(frame.limit(0))
     assert language.identify(ask, empty).where("lang_pred <> 'und'").count() == 0
     assert language.identify(ask.limit(0), model).count() == 0
 
 
+def test_language_against_plain_dictionaries(spark):
+    _, rows = language_rows(n=20)
+    rows += [(200, "Ka-roß ÖÖ é", "aa"), (201, "abc " * 3, "bb"), (202, "İx Σς", "aa")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words, counts = lambda t: __import__("regex").findall(r"[\p{L}\p{M}]+", t.lower()), {}
+    for _, text, lang in rows:
+        for w in words(text):
+            for n in range(6):
+                for key in [w] if n == 0 else [f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)]:
+                    counts.setdefault((n, key), {"aa": 0, "bb": 0})[lang] += 1
+    sums = {n: {x: sum(c[x] for (m, _), c in counts.items() if m == n) for x in ("aa", "bb")} for n in range(6)}
+    size = {n: sum(m == n for m, _ in counts) for n in range(6)}
+    log = lambda n, key, x: math.log((counts[n, key][x] + 0.1) / (sums[n][x] + 0.1 * size[n]))
+
+    def score(word, x):
+        if (0, word) in counts:
+            return log(0, word, x)
+        for n in range(5, 0, -1):
+            if known := [g for k in range(len(word) + 3 - n) if (n, g := f"^{word}$"[k : k + n]) in counts]:
+                return sum(log(n, g, x) for g in known) / len(known)
+        return 0.0
+
+    rng = random.Random(8)
+    asked = [" ".join("".join(rng.choice("karomizuschöabcxyé") for _ in range(rng.randrange(1, 12))) for _ in range(6)) for _ in range(200)] + [rows[3][1], "Karo, mika! zu-zu", "qqq www"]
+    got = model.predict(asked)
+    for text, lang, p in zip(asked, got.lang_pred, got.score):
+        a, b = (sum(score(w, x) for w in words(text)) for x in ("aa", "bb"))
+        assert p == pytest.approx(1 / (1 + math.exp(-abs(a - b))), abs=1e-4)
+        assert abs(a - b) < 1e-4 or lang == ("aa" if a > b else "bb")
+
+
+def held_out(table, divisor, rest):
+    """The rows of sf0.1 and whether their remainder is ``rest``."""
+    path = "/root/testdata/sf0.1"
+    rows = pd.read_parquet(f"{path}/documents.parquet") if table == "documents" else pd.read_parquet(f"{path}/documents.parquet").merge(pd.read_parquet(f"{path}/labels.parquet"), on="doc_id")
+    return rows, np.array([zlib.crc32(str(i).encode()) % divisor == rest for i in rows.doc_id])
+
+
+def test_language_of_held_out_documents(spark):
+    rows, held = held_out("documents", 4, 2)
+    model = language.train(spark.createDataFrame(rows[~held][["doc_id", "text", "lang"]]), max_train=2500)
+    got = model.predict(rows.text[held].tolist())
+    assert (got.lang_pred.to_numpy() == rows.lang[held].to_numpy()).mean() > 0.99
+    assert (got.fit < -12).mean() < 0.002
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "xkcd wqrtz bnmpl vrtsk zzxqw plkjh qwrtp mnbvc", "def main(): for x in range(10): print(x) import numpy"]
+    assert (model.predict(foreign).fit < -12).all()
+
+
+def test_toxicity_of_held_out_documents():
+    rows, held = held_out("labels", 5, 0)
+    rows, held = rows[rows.toxic.notna()], held[rows.toxic.notna()]
+    model = toxicity.fit([toxicity.condensed(t) for t in rows.text[~held]], rows.toxic[~held].to_numpy())
+    found, toxic = model.scores(rows.text[held].tolist()) >= 0.5, rows.toxic[held].to_numpy() == 1
+    assert found[toxic].mean() >= 0.85 and found[~toxic].mean() <= 0.02
+
+
+def test_toxicity_against_plain_runs():
+    rng = random.Random(9)
+    asked = [" ".join("".join(rng.choice("abcdéß") for _ in range(rng.randrange(1, 6))) for _ in range(n)) for n in (1, 2, 4, 5, 6, 7, 40, 300)]
+    table = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    got = toxicity.Model(table, 0.25, -9.0).logits([*asked, "", None, "12 ?"])
+    for text, logit in zip(asked, got):
+        words = list(dict.fromkeys(text.split()))
+        begins = [k for k in range(0, len(words), toxicity.RUN) if k == 0 or len(words) - k >= toxicity.RUN / 2]
+        best = -math.inf
+        for a, b in zip(begins, [*begins[1:], len(words)]):
+            made = language.Words.of([" ".join(words[a:b])])
+            rows, _ = toxicity.subwords(made, np.arange(b - a))
+            assert len(rows) == sum(1 + sum(max(0, len(w) + 3 - n) for n in (3, 4, 5)) for w in words[a:b])
+            best = max(best, table[rows].mean())
+        assert logit == pytest.approx(best + 0.25)
+        assert toxicity.Model(table, 0.25, -9.0).logits([toxicity.condensed(text)])[0] == pytest.approx(logit)
+    assert list(got[-3:]) == [-9.0] * 3
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     clean = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
     make = lambda bad: " ".join([*(rng.choice(clean) for _ in range(40)), *(["xyzzyqu" + rng.choice("abcdef") for _ in range(3)] if bad else [])])
     rows = [(k, make(k % 4 == 0)) for k in range(400)]
-    frame = spark.createDataFrame([*rows, (999, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(999, 0), (1000, 1), (1, None)], "doc_id long, toxic int")
+    frame = spark.createDataFrame([*rows, (999, None), (1, rows[1][1])], "doc_id long, text string").withColumn("toxic", F.lit(7)).withColumn("words", F.lit("x"))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(999, 0), (1000, 1), (1, None), (2, 0)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
     model = toxicity.train(frame, labels)
     ask = spark.createDataFrame([(1, make(False)), (2, " ".join(clean[:40]) + " xyzzyqux xyzzyquz xyzzyquy"), (3, None), (4, ""), (5, "xyzzyqua " * 100_000)], "doc_id long, text string")
     got = {r.doc_id: r.s for r in ask.select("doc_id", toxicity.toxicity(spark, model, F.col("text")).alias("s")).collect()}
     assert got[1] < 0.5 < got[2] and got[3] == got[4] < 0.5 and got[5] > 0.5
-    assert 0 < toxicity.Scorer(toxicity.fit([], np.array([]))).score("x") < 1
+    none = toxicity.train(frame.limit(0), labels)
+    assert 0 < none.scores(["x", None])[0] < 1 and toxicity.toxicity(spark, none, F.col("text")) is not None
+    assert ask.limit(0).select(toxicity.toxicity(spark, model, F.col("text"))).count() == 0
 
 
 # vectors
