@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from tessera.llm import language, mixing, packing, pii, simhash
 from tessera.llm.queries import MIX_EXPONENT, MIX_SEED, PII_KEY, tokenizer_path
 
-#: Documents of less certain language go; a text of a few known words passes.
-LEAST_SCORE = 0.5
+#: Documents go whose words are known worse than the language's by more standard errors.
+LEAST_FIT = -12.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents with letters whose language is at least ``LEAST_SCORE`` certain."""
+    """Keeps the documents whose words are those of a language: others, and documents without letters, go."""
     model = language.train(docs)
     scored = docs.withColumn("__language", language.language(spark, model, F.col("text")))
-    return scored.where(F.col("__language.score") >= LEAST_SCORE).select(*docs.columns)
+    return scored.where((F.col("__language.lang_pred") != language.UNKNOWN) & (F.col("__language.fit") >= LEAST_FIT)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
