@@ -204,6 +204,39 @@ def test_only_hidden_elements_are_dropped():
         assert [a for a in gone if not html.blocks_of(f"<body><{tag} {a}>{body}</{tag}></body>")] == gone
 
 
+def test_the_cut_mends_labels():
+    from pages import pages
+
+    blocks = [(html.blocks_of(page), [y for _, y in labels]) for page, labels in pages(1, 2000)]
+    assert html.WEIGHTS == pytest.approx(html.fit([b for bs, _ in blocks for b in bs], [y for _, ys in blocks for y in ys]), abs=0.01)
+    alone = cut = total = 0
+    for page, labels in pages(2, 300):
+        bs, want = html.blocks_of(page), [y for _, y in labels]
+        assert [b.text for b in bs] == [" ".join(t.split()) for t, _ in labels]
+        odds = [html.log_odds(b) for b in bs]
+        alone += sum((o > 0) == y for o, y in zip(odds, want))
+        cut += sum(k == y for k, y in zip(html.minimum_cut(odds, html.smoothness(bs)), want))
+        total += len(want)
+    assert cut > 0.995 * total and alone < 0.985 * total
+    # short lines between paragraphs and a sentence in a menu, with no name on either
+    text = "".join(f"<p>{'A long and plain sentence of this story. ' * 2}</p><p>Yes</p>" for _ in range(3)) + "<p>And so it ended, as all plain stories do.</p>"
+    menu = "<div><ul><li><a>One</a><li><a>Two</a><li>News every day.<li><a>Three</a><li><a>Four</a></ul></div>"
+    bs = html.blocks_of(f"<body>{menu}<div>{text}</div></body>")
+    assert [b.text for b in bs if b.text in ("Yes", "News every day.") and html.log_odds(b) <= 0] == ["Yes"] * 3
+    assert html.main_blocks(f"<body>{menu}<div>{text}</div></body>").count("Yes") == 3
+
+
+def test_extraction_of_many_and_deep_blocks():
+    import time
+
+    began = time.time()
+    n = 20_000
+    for page in ("<b>" * n + "</i>" * n + "x", "<div>" * n + "</p>" * n + "x", "<i><p>" + "<b>" * n + "</i>" * n, "<b>" * n + "<hr>" * n, "<p><b>" * n + "x", "<ul><li>" * n + "x"):
+        html.main_blocks(page)
+    html.main_blocks("".join(f"<div><p>{'word ' * (3 + k * 7 % 18)}</p></div><p>{'a b c d ' * (k * 5 % 4 + 1)}</p>" for k in range(8000)))
+    assert time.time() - began < 60
+
+
 def test_extraction(spark):
     rows = [(1, PAGE), (2, None), (3, ""), (4, "<!-- open"), (5, "<p>" + "A long plain paragraph of words. " * 5000), (1, PAGE)]
     got = spark.createDataFrame(rows, "page_id long, html string").select("page_id", html.main_text(F.col("html")).alias("t")).collect()
