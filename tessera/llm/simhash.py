@@ -56,11 +56,13 @@ DISTANCE = 2
 HOT = 16
 #: Sets of fewer shingles are compared whatever their fingerprints.
 FEW_SHINGLES = 32
-#: Bins that shingles are counted in, to order them; the order changes no result.
-BINS = 1 << 20
+#: Bins that shingles are counted in, to order them and to tell which buckets may be large; results don't depend on it.
+BINS = 1 << 18
+#: Members that a bucket may have, beyond four mean bins, to be gathered by one task; larger ones are not gathered.
+GATHERED = 50_000
 #: Members of a bucket, and shingles of a cluster, that a task compares with one another; members compared with all others at once.
 BLOCK, BLOCK_SHINGLES, ROWS_AT_ONCE = 8192, 2_000_000, 256
-#: Ids up to this number (8 bytes each) are broadcast to pick their texts; beyond it the texts are shuffled.
+#: Ids up to this number (24 bytes each at most) are broadcast to pick their texts; beyond it the texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at once; bounds a task's memory for very long texts.
 CHUNK = 1 << 16
@@ -251,18 +253,28 @@ def _counted(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``doc_id, digest, size, left, right, codes`` of ``docs`` (id, text): MD5, number of shingles, their fingerprint and prefix."""
-    counts = docs.sparkSession.sparkContext.broadcast(_counted(docs, shingle))
+    """``doc_id, digest, size, left, right, codes, often`` of ``docs`` (id, text): MD5, number of shingles, their fingerprint and prefix.
+
+    ``often`` are the shingles of the prefix whose buckets may be large.
+    """
+    found = _counted(docs, shingle)
+    limit = min(GATHERED + 4 * int(found.mean()), np.iinfo(np.uint32).max - 1)
+    counts = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ShingleHasher(shingle)
 
-        def prefix(hashes: np.ndarray) -> np.ndarray:
+        def prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(hashes):  # texts without words meet one another
+                return hashes.view("<i8"), np.zeros(1, dtype="<i8")
             wanted = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-            return hashes[np.lexsort((hashes, counts.value[hashes % np.uint64(BINS)]))[:wanted]]
+            n = counts.value[hashes % np.uint64(BINS)]
+            chosen = np.lexsort((hashes, n))[:wanted]
+            few = n[chosen] <= limit
+            return hashes[chosen[few]].view("<i8"), hashes[chosen[~few]].view("<i8")
 
         for batch in batches:
-            digests, sizes, left, right, codes = [], [], [], [], []
+            digests, sizes, left, right, codes, often = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 digests.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
                 hashes = hasher.shingles(text)
@@ -270,12 +282,46 @@ def prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 for out, mixed in ((left, hashes), (right, _mixed(hashes))):
                     chunks = (mixed[k : k + CHUNK] for k in range(0, len(mixed), CHUNK))
                     out.append(majority(chunks).view("<i8")[0])
-                # texts without words meet one another
-                codes.append(prefix(hashes).view("<i8") if len(hashes) else np.zeros(1, dtype="<i8"))
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(codes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "size", "left", "right", "codes"])
+                for out, found in zip((codes, often), prefix(hashes), strict=True):
+                    out.append(found)
+            longs = [pa.array(c, pa.int64()) for c in (sizes, left, right)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *longs, *(pa.array(c, pa.list_(pa.int64())) for c in (codes, often))], names=["doc_id", "digest", "size", "left", "right", "codes", "often"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, size long, left long, right long, codes array<long>, often array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, size long, left long, right long, codes array<long>")
+def _chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole buckets, many at once, from rows sorted by the first ``keys`` columns; where each row's bucket ends."""
+
+    def whole(table: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in table[:keys]], axis=0)) + 1
+        sizes = np.diff(np.concatenate(([0], new, [len(table[0])])))
+        return table, np.repeat(np.cumsum(sizes), sizes)
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= CHUNK:
+            table = [np.concatenate(c) for c in zip(*held, strict=True)]
+            ends = whole(table)[1]
+            cut = np.searchsorted(ends, ends[-1])
+            held = [[c[cut:] for c in table]]
+            if cut:
+                yield [c[:cut] for c in table], ends[:cut]
+    if held:
+        yield whole([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries (code, id) whose bucket has other members, with its smallest."""
+    for (code, ids), ends in _chunks(batches, 1):
+        begins = np.flatnonzero(np.concatenate(([True], ends[1:] != ends[:-1])))
+        sizes = np.diff(np.append(begins, len(ids)))
+        least, most = (np.repeat(f.reduceat(ids, begins), sizes) for f in (np.minimum, np.maximum))
+        kept = least != most
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (code, ids, least)], names=["code", "id", "partner"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -329,16 +375,19 @@ def _clusters(similarity: float):
     """Each bucket's members that may match members of other groups: ``u``, and a member ``v`` of the same cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _buckets(batches):
-            first, second, block, ids, root, size, *bits = (c.to_numpy() for c in columns[1:])
-            bits = np.stack(bits, axis=1).view(np.uint64)
+        for (_, first, second, block, ids, root, size, *bits), ends in _chunks(batches, 3):
+            bits, two = np.stack(bits, axis=1).view(np.uint64), first != second
             parent, met = np.arange(len(ids)), np.zeros(len(ids), dtype=bool)
-            for k in range(0, len(ids), ROWS_AT_ONCE):
-                i, j = np.nonzero(_comparable(similarity, slice(k, k + ROWS_AT_ONCE), root, block, first[0] != second[0], size, bits))
-                _unite(parent, i + k, j)
-                met[i + k] = True
-            if met.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(ids[parent[met]])], names=["u", "v"])
+            i, apart = np.arange(len(ids)), 0
+            while len(i := i[i + (apart := apart + 1) < ends[i]]):  # each row with the one so many rows on
+                for k in range(0, len(i), CHUNK):
+                    a = i[k : k + CHUNK]
+                    a = a[(root[a] != root[a + apart]) & (~two[a] | (block[a] != block[a + apart]))]
+                    far = np.bitwise_count(bits[a] ^ bits[a + apart]).sum(axis=1, dtype=np.int64)
+                    a = a[_may_match(similarity, far, size[a], size[a + apart])]
+                    _unite(parent, a, a + apart)
+                    met[a] = met[a + apart] = True
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(ids[parent[met]])], names=["u", "v"])
 
     return run
 
@@ -409,14 +458,17 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     prints = cut_lineage(prefixes(source, similarity, shingle))
-    own = F.struct("doc_id", "size", "left", "right", "codes")
-    texts = cut_lineage(prints.groupBy("digest").agg(F.min(own).alias("own"), F.count("*").alias("copies")).select("digest", "copies", F.col("own.doc_id").alias("id"), "own.size", "own.left", "own.right", "own.codes"))
+    own = F.struct("doc_id", "size", "left", "right")
+    texts = cut_lineage(prints.groupBy("digest").agg(F.min(own).alias("own"), F.count("*").alias("copies")).select("digest", "copies", F.col("own.doc_id").alias("id"), "own.size", "own.left", "own.right"))
     shapes = texts.select("id", "size", "left", "right")
+    again = cut_lineage(prints.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").where("doc_id <> id").select("doc_id", "digest").distinct())
+
+    def small(frame: DataFrame) -> DataFrame:
+        return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """``id, text`` of some ids."""
-        small = F.broadcast if ids.count() <= BROADCAST_ROWS else lambda frame: frame
-        return source.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").dropDuplicates(["id"])
+        """``id, text`` of some ids; an id that has several texts has several rows."""
+        return source.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi").dropDuplicates(["id", "text"])
 
     # pairs of equal or linked fingerprints
     first = cut_lineage(texts.groupBy(F.col("left").alias("fingerprint")).agg(F.min("id").alias("first")))
@@ -425,9 +477,11 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     equal = shapes.join(first, F.col("left") == F.col("fingerprint")).where("id <> first").select("id", F.col("first").alias("partner"))
 
     # each text's buckets that have other members, and its nearest of those that their buckets prefer
-    entries = texts.select(F.explode("codes").alias("code"), "id")
-    buckets = entries.groupBy("code").agg(F.min("id").alias("partner"), F.max("id").alias("last")).where("partner <> last")
-    entries = cut_lineage(entries.join(buckets.select("code", "partner"), "code"))
+    once = prints.join(small(again), ["doc_id", "digest"], "left_anti").withColumnRenamed("doc_id", "id")
+    entries = once.select(F.explode("codes").alias("code"), "id").repartition("code").sortWithinPartitions("code").mapInArrow(_meeting, "code long, id long, partner long")
+    large = once.select(F.explode("often").alias("code"), "id")
+    pivots = large.groupBy("code").agg(F.min("id").alias("partner"), F.max("id").alias("last")).where("partner <> last")
+    entries = cut_lineage(entries.unionAll(large.join(pivots, "code").select("code", "id", "partner")))
     theirs = shapes.select(F.col("id").alias("partner"), F.col("size").alias("their_size"), F.col("left").alias("their_left"), F.col("right").alias("their_right"))
     apart = F.bit_count(F.col("left").bitwiseXOR(F.col("their_left"))) + F.bit_count(F.col("right").bitwiseXOR(F.col("their_right")))
     low, high = F.least("size", "their_size"), F.greatest("size", "their_size")
