@@ -9,28 +9,34 @@ left per digit of the sum. The best rows are then chosen from the most significa
 slice downward; rows still tied at the boundary are resolved by id, and the chosen
 rows' scores are computed exactly.
 
-All rows meet all queries, in blocks of at most about ``BLOCK_ROWS`` rows and
-``BLOCK_QUERIES`` queries; each meeting yields k rows a query.
+All rows meet all queries: rows in blocks of at most about ``BLOCK_ROWS``, whose bitmaps
+are built once, and queries streaming past every block, each meeting yielding k rows a
+query. Components of ``LARGEST`` or more stay out of the bitmaps: their vectors are
+scored in whole numbers of any size.
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part,
-nor do rows with a null id, nor vectors with a component of ``LARGEST`` or more, whose
-products could leave 64 bits; an empty vector scores 0, and vectors are compared with
-those of the same length only; ties go to the smaller id; repeated ids count as rows,
-a query is asked once and its own id is no candidate; an empty table gives no rows.
+nor do rows with a null id; scores beyond 64 bits count as the largest or smallest
+number of 64 bits; an empty vector scores 0, and vectors are compared with those of the
+same length only; ties go to the smaller id; repeated ids count as rows, a query is
+asked once and its own id is no candidate; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .blocks import matrix, meet
 from .common import cut_lineage
 
-BLOCK_ROWS = 1 << 16
-BLOCK_QUERIES = 2048
+#: Rows of a block at most, and at least where there are more tasks than blocks.
+BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 12
 LARGEST = float(1 << 24)
 HITS = "query_id long, vec_id long, score long"
 
@@ -113,12 +119,43 @@ class SlicedBlock:
         return list(zip(self.ids[rows].tolist(), (self.rows[rows] @ query).tolist(), strict=True))
 
 
+class Block:
+    """A block's rows: bitmaps of those of small components, and the others as whole numbers."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        small = (np.abs(rows) < LARGEST).all(axis=1)
+        self.sliced = SlicedBlock(ids[small], rows[small]) if small.any() else None
+        self.ids, self.large = ids[~small], whole(rows[~small])
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Ids and scores of the k best rows other than the query's own, ties to the smaller id."""
+        if self.sliced is None:
+            found = []
+        elif (np.abs(query) < LARGEST).all():
+            found = self.sliced.top(query_id, query.astype(np.int64), k)
+        else:
+            found = [*zip(self.sliced.ids.tolist(), self.sliced.rows.astype(object) @ whole(query), strict=True)]
+        if len(self.ids):
+            found += zip(self.ids.tolist(), self.large @ whole(query), strict=True)
+        return sorted(((n, int(s)) for n, s in found if n != query_id), key=lambda h: (-h[1], h[0]))[:k]
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Integral floats as whole numbers of any size."""
+    return np.array([int(c) for c in x.ravel().tolist()], dtype=object).reshape(x.shape)
+
+
 def quantised(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, v``: floor(scale * component), of the vectors that take part."""
+    """``vec_id, v``: floor(scale * component) as a double, of the vectors that take part."""
     x = F.col(vector_col).cast("array<double>")
-    good = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) * scale >= LARGEST))
+    good = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & good)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"))
+
+    def floor(c: Column) -> Column:  # floor() gives longs; from 2^53 on a double is whole
+        y = F.greatest(F.least(c * scale, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, floor).alias("v"))
 
 
 def search(vectors: DataFrame, asks: Column, *, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -126,25 +163,24 @@ def search(vectors: DataFrame, asks: Column, *, k: int = 20, scale: float = 64.0
 
     ``asks`` is a condition on ``vec_id``.
     """
-    ship_package(vectors.sparkSession)
-    rows = cut_lineage(quantised(vectors, scale, id_col, vector_col))
-    counts = rows.select(F.count("*"), F.count(F.when(asks, 1))).first()
-    blocks, chunks = max(1, -(-counts[0] // BLOCK_ROWS)), max(1, -(-counts[1] // BLOCK_QUERIES))
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
-    left = rows.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.size("v").alias("width"), "vec_id", "v")
-    queries = rows.where(asks).dropDuplicates(["vec_id"])
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.size("v").alias("width"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
-
-    def scan(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        if len(members) and len(asking):
-            width = int(members["width"].iloc[0])
-            index = SlicedBlock(members["vec_id"].to_numpy(), np.stack(members["v"].to_numpy()).reshape(len(members), width))
-            for query_id, query in zip(asking["query_id"].tolist(), asking["query"], strict=True):
-                found += [(query_id, n, s) for n, s in index.top(query_id, np.asarray(query, dtype=np.int64), k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    keys = ["block", "chunk", "width"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, HITS)
+    spark = vectors.sparkSession
+    ship_package(spark)
+    rows = cut_lineage(quantised(vectors, scale, id_col, vector_col)).withColumn("width", F.size("v"))
+    count, tasks = rows.count(), spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-count // BLOCK_ROWS), min(tasks, -(-count // LEAST_ROWS)))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    right = rows.where(asks).dropDuplicates(["vec_id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def build(members: pa.Table) -> Block:
+        members = members.combine_chunks().to_batches()[0]
+        return Block(members.column("vec_id").to_numpy(), matrix(members.column("v"), int(members.column("width")[0].as_py())))
+
+    def ask(block: Block, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = queries.column("vec_id").to_pylist()
+        found = [(q, n, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, v in zip(ids, matrix(queries.column("v"), int(queries.column("width")[0].as_py())), strict=True) for n, s in block.top(q, v, k)]
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    hits = meet(left, right, ["block", "width"], blocks, build, ask, HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
