@@ -390,10 +390,54 @@ def test_nearest_neighbours(spark):
     assert len(few) == 3
 
 
-@pytest.mark.parametrize("rows_a_block, queries_a_block", [(1 << 16, 2048), (100, 7)])
-def test_top_k_is_exact(spark, monkeypatch, rows_a_block, queries_a_block):
+def test_neighbours_of_several_widths_and_lists(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 150)
+    monkeypatch.setattr(vectors, "LEAST_INDEXED", 250)
+    rng = np.random.default_rng(4)
+    made = [(k, rng.normal(size=w).tolist()) for k, w in enumerate([16] * 400 + [3] * 298 + [2] * 4)]
+    made += [(k + 1000, made[5][1]) for k in range(300)]  # a hot list
+    got = vectors.search(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=5).toPandas()
+    hits = total = 0
+    for q, v in made:
+        if q % 100 == 0:
+            best = sorted((float(np.sqrt(((np.array(w) - v) ** 2).sum())), n) for n, w in made if n != q and len(w) == len(v))[:5]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert len(mine) == len(best)
+            hits, total = hits + len({n for _, n in best} & set(mine.vec_id)), total + len(best)
+            if len(v) == 2:
+                assert list(zip(mine.score, mine.vec_id)) == best
+    assert hits >= 0.9 * total
+
+
+def test_recall_on_embeddings(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = vectors.search(frame, F.col("vec_id") % 100 == 0, k=10).toPandas()
+    rows = frame.toPandas().sort_values("vec_id")
+    ids, data = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        far = np.sqrt(((data - data[ids == q][0]) ** 2).sum(axis=1))
+        far[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, far))[:10]]) & set(g.vec_id))
+    assert hits >= 0.95 * 10 * (ids % 100 == 0).sum()
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1.0, -2.0]), (20, [300000.0, 1.0]), (1, [3e8, -1.5]), (2, [-3e8, 0.0]), (3, [0.01, 1e30]), (4, [1.0]), (40, [2.0]), (5, []), (60, []), (6, None), (7, [float("inf"), 1.0])]
+    got = bitslice.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).toPandas()
+    ints = {n: [math.floor(64 * x) for x in v] for n, v in rows if v is not None and all(map(math.isfinite, v))}
+    want = []
+    for q in (0, 20, 40, 60):
+        best = sorted((-sum(a * b for a, b in zip(v, ints[q])), n) for n, v in ints.items() if n != q and len(v) == len(ints[q]))[:3]
+        want += [(q, k + 1, n, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, n) in enumerate(best)]
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].astype(object).values.tolist())) == sorted(want)
+    assert bitslice.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("rows_a_block, least_rows", [(1 << 16, 1 << 12), (100, 50)])
+def test_top_k_is_exact(spark, monkeypatch, rows_a_block, least_rows):
     monkeypatch.setattr(bitslice, "BLOCK_ROWS", rows_a_block)
-    monkeypatch.setattr(bitslice, "BLOCK_QUERIES", queries_a_block)
+    monkeypatch.setattr(bitslice, "LEAST_ROWS", least_rows)
     rows, made = vector_rows(2, 420)
     got = bitslice.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int"), F.col("vec_id") % 20 == 0, k=20).toPandas()
     ints = np.floor(64 * made.astype(float)).astype(np.int64)
