@@ -119,8 +119,17 @@ def cosine(a: Column, b: Column) -> Column:
 def similar_to(prints: DataFrame, wanted: Column, least: float, k: int) -> DataFrame:
     """The k arrays most like one array: 0.6 of the value and 0.4 of the slope histograms' cosine.
 
-    The single wanted row is broadcast.
+    Where the prints have ``cols``, ``rows`` and ``width``, another number of columns or rows
+    leaves 0.7 of the score, another of both 0.4, another width 0.85 of that. The single
+    wanted row is broadcast.
     """
-    one = F.broadcast(prints.where(wanted).select(F.col("array_id").alias("of"), F.col("values").alias("v0"), F.col("slopes").alias("s0")).limit(1))
-    scored = prints.join(one, F.col("array_id") != F.col("of")).select("of", "array_id", (0.6 * cosine(F.col("values"), F.col("v0")) + 0.4 * cosine(F.col("slopes"), F.col("s0"))).alias("score"))
+    sized = [c for c in ("cols", "rows", "width") if c in prints.columns]
+    one = F.broadcast(prints.where(wanted).select(F.col("array_id").alias("of"), F.col("values").alias("v0"), F.col("slopes").alias("s0"), *(F.col(c).alias(f"{c}0") for c in sized)).limit(1))
+    score = 0.6 * cosine(F.col("values"), F.col("v0")) + 0.4 * cosine(F.col("slopes"), F.col("s0"))
+    if "cols" in sized and "rows" in sized:
+        same = (F.col("cols") == F.col("cols0")).cast("int") + (F.col("rows") == F.col("rows0")).cast("int")
+        score = score * F.when(same == 2, 1.0).when(same == 1, 0.7).otherwise(0.4)
+    if "width" in sized:
+        score = score * F.when(F.col("width") == F.col("width0"), 1.0).otherwise(0.85)
+    scored = prints.join(one, F.col("array_id") != F.col("of")).select("of", "array_id", F.least(score, F.lit(1.0)).alias("score"))
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), "array_id").limit(k)

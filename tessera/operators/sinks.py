@@ -36,3 +36,42 @@ def patch_runs(compared: DataFrame) -> DataFrame:
     run = compared.where("before <> after").withColumn("gap", F.when(F.col("address") - F.lag("address").over(order) == 1, 0).otherwise(1)).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("address", F.lpad(F.hex(c), 2, "0").alias("h")))), lambda s: s["h"]), "")
     return run.groupBy("image_id", "run").agg(F.min("address").alias("address"), F.count("*").alias("length"), text("before").alias("before"), text("after").alias("after")).drop("run")
+
+
+def s_record_lines(data: DataFrame) -> DataFrame:
+    """S-records (image_id, line_no, line) of rows (image_id, address, byte): a header, records of up to 16 bytes with four-byte addresses, broken at gaps, and an end."""
+    order = Window.partitionBy("image_id").orderBy("address")
+    run = data.withColumn("gap", F.when(F.col("address") - F.lag("address").over(order) == 1, 0).otherwise(1)).withColumn("run", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("address", F.lpad(F.hex("byte"), 2, "0").alias("h")))), lambda s: s["h"]), "")
+    record = run.groupBy("image_id", F.floor(F.col("address") / 16).alias("row"), "run").agg(F.min("address").alias("start"), joined.alias("data"))
+    pad = lambda value, n: F.lpad(F.hex(value), n, "0")
+    body = record.select("image_id", "start", F.lit("3").alias("kind"), F.concat(pad((F.length("data") / 2 + 5).cast("long"), 2), pad(F.col("start"), 8), F.col("data")).alias("body"))
+    images = data.select("image_id").distinct()
+    ends = images.select("image_id", F.lit(-1).cast("long").alias("start"), F.lit("0").alias("kind"), F.lit("030000").alias("body")).unionAll(images.select("image_id", F.lit(1 << 62), F.lit("7"), F.lit("0500000000")))
+    total = F.aggregate(F.regexp_extract_all("body", F.lit("(..)"), F.lit(1)), F.lit(0).cast("long"), lambda s, h: s + F.conv(h, 16, 10).cast("long"))
+    line = F.concat(F.lit("S"), "kind", "body", pad(255 - total % 256, 2))
+    number = F.row_number().over(Window.partitionBy("image_id").orderBy("start"))
+    return body.unionAll(ends).select("image_id", number.alias("line_no"), line.alias("line"))
+
+
+MAP_HEADER = "Name,Address,Size (bytes),Type,Cols,Rows,DataSize,Signed,ByteOrder,MinValue,MaxValue,MeanValue,ModifiedCells"
+
+
+def map_lines(maps: DataFrame) -> DataFrame:
+    """CSV lines (array_id, line) of maps (array_id, name, address, kind, cols, rows, width, signed, big_endian, low, high, mean, modified); ``MAP_HEADER`` names the fields."""
+    quoted = lambda c: F.when(F.col(c).rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+    number = lambda c: F.format_string("%.3f", F.round(F.col(c).cast("double"), 3))
+    size = (F.col("cols") * F.col("rows") * F.col("width")).cast("string")
+    order = F.when(F.col("big_endian"), "big").otherwise("little")
+    address = F.concat(F.lit("0x"), F.lpad(F.hex("address"), 8, "0"))
+    fields = [quoted("name"), address, size, quoted("kind"), *(F.col(c).cast("string") for c in ("cols", "rows", "width")), F.when(F.col("signed"), "yes").otherwise("no"), order, number("low"), number("high"), number("mean"), F.col("modified").cast("string")]
+    return maps.select("array_id", F.concat_ws(",", *fields).alias("line"))
+
+
+def map_json(maps: DataFrame, cells: DataFrame) -> DataFrame:
+    """JSON texts (array_id, json) of maps as above with x_name, x_unit, y_name and y_unit, and their cells (array_id, pos, value)."""
+    values = cells.groupBy("array_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("cells"))
+    address = F.concat(F.lit("0x"), F.lpad(F.hex("address"), 8, "0"))
+    axis = lambda a: F.struct(F.col(f"{a}_name").alias("name"), F.col(f"{a}_unit").alias("unit")).alias(f"{a}Axis")
+    body = F.struct("name", F.col("kind").alias("type"), address.alias("address"), F.col("address").alias("addressDec"), (F.col("cols") * F.col("rows") * F.col("width")).alias("length"), "cols", "rows", F.col("width").alias("dataSize"), "signed", axis("x"), axis("y"), "cells", F.col("low").alias("min"), F.col("high").alias("max"), "mean", F.col("modified").alias("modifiedCells"))
+    return maps.join(values, "array_id", "left").select("array_id", F.to_json(body).alias("json"))

@@ -53,7 +53,7 @@ def p5(spark, d):
     return found.select("array_id", "row", "col", F.round("value", 6).alias("value"))
 
 
-@query("P6_axis_read", f"WITH {RAW} SELECT array_id, list(round(CASE WHEN array_id % 2 = 0 THEN col * 10.0 ELSE raw * 0.001 END, 6) ORDER BY col) AS axis FROM raw_cells WHERE row = 0 GROUP BY array_id")
+@query("P6_axis_read", f"WITH {RAW} SELECT array_id, list(round(CASE WHEN array_id % 2 = 0 THEN col * 10.0::DOUBLE ELSE raw * 0.001::DOUBLE END, 6) ORDER BY col) AS axis FROM raw_cells WHERE row = 0 GROUP BY array_id")
 def p6(spark, d):
     fixed = F.when(F.col("array_id") % 2 == 0, F.col("col") * 10.0)
     rows = raw_cells(spark, d).where("row = 0").select("array_id", "col", F.round(F.coalesce(fixed, codec.linear(F.col("raw"), 0.001, 0.0)), 6).alias("x"))
@@ -233,9 +233,26 @@ def w10(spark, d):
     return arrays.bilinear(cells(spark, d), points).select("array_id", F.round("surface", 6).alias("surface"))
 
 
-@query("M7_map_similarity")
+SIZES = "sizes AS (SELECT vec_id AS array_id, CAST(CASE WHEN label % 2 = 0 THEN 8 ELSE 16 END AS INTEGER) AS cols, CAST(CASE WHEN label % 3 = 0 THEN 8 ELSE 4 END AS INTEGER) AS rows, CAST(CASE WHEN label % 5 = 0 THEN 1 ELSE 2 END AS INTEGER) AS width FROM embeddings)"
+
+
+@query(
+    "M7_map_similarity",
+    f"""WITH {CELLS}, {SIZES}, d AS (SELECT array_id, value, value - lag(value) OVER (PARTITION BY array_id ORDER BY pos) AS delta FROM cells),
+    e AS (SELECT array_id, min(value) AS l, max(value) AS h, min(delta) AS dl, max(delta) AS dh FROM d GROUP BY array_id),
+    b AS (SELECT array_id, 0 AS kind, CAST(least(floor(coalesce((value - l) * 32 / nullif(h - l, 0), 0)), 31) AS INTEGER) AS bin FROM d JOIN e USING (array_id)
+        UNION ALL SELECT array_id, 1, CAST(least(floor(coalesce((delta - dl) * 64 / nullif(dh - dl, 0), 0)), 63) AS INTEGER) FROM d JOIN e USING (array_id) WHERE delta IS NOT NULL),
+    c AS (SELECT array_id, kind, bin, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY ALL),
+    norms AS (SELECT array_id, kind, sum(n * n) AS nn FROM c GROUP BY ALL),
+    dots AS (SELECT x.array_id, x.kind, sum(x.n * y.n) AS p FROM c x JOIN c y ON y.array_id = 1 AND x.kind = y.kind AND x.bin = y.bin WHERE x.array_id <> 1 GROUP BY ALL),
+    parts AS (SELECT m.array_id, sum((CASE WHEN m.kind = 0 THEN 0.6 ELSE 0.4 END) * coalesce(p, 0) / sqrt(m.nn * o.nn)) AS s FROM norms m JOIN norms o ON o.array_id = 1 AND m.kind = o.kind LEFT JOIN dots q ON q.array_id = m.array_id AND q.kind = m.kind WHERE m.array_id <> 1 GROUP BY m.array_id),
+    scored AS (SELECT CAST(1 AS BIGINT) AS "of", a.array_id, s * CASE CAST(a.cols = o.cols AS INTEGER) + CAST(a.rows = o.rows AS INTEGER) WHEN 2 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END * CASE WHEN a.width = o.width THEN 1.0 ELSE 0.85 END AS score FROM parts p JOIN sizes a ON a.array_id = p.array_id, sizes o WHERE o.array_id = 1)
+    SELECT "of", array_id, round(score, 6) AS score FROM scored WHERE score >= 0.5 ORDER BY scored.score DESC, array_id LIMIT 20""",
+)
 def m7(spark, d):
-    prints = arrays.fingerprint(cells(spark, d))
+    of = F.col("label")
+    sizes = read(spark, d, "embeddings", "vec_id", "label").select(F.col("vec_id").alias("array_id"), F.when(of % 2 == 0, 8).otherwise(16).alias("cols"), F.when(of % 3 == 0, 8).otherwise(4).alias("rows"), F.when(of % 5 == 0, 1).otherwise(2).alias("width"))
+    prints = arrays.fingerprint(cells(spark, d)).join(sizes, "array_id")
     return arrays.similar_to(prints, F.col("array_id") == 1, 0.5, 20).withColumns(r6("score"))
 
 
@@ -251,11 +268,6 @@ def f7(spark, d):
     return read(spark, d, "embeddings", "vec_id").join(hits, "vec_id", "left_semi")
 
 
-EDITS = {"E1_increment": ("raw + 7", lambda r: r + 7), "E2_percent": ("CAST(round(raw * 1.2) AS BIGINT)", lambda r: F.round(r * 1.2).cast("long")), "E5_clamp": ("least(greatest(raw, -100), 100)", lambda r: F.least(F.greatest(r, F.lit(-100)), F.lit(100))), "E4_restore_range": ("CASE WHEN pos BETWEEN 8 AND 15 THEN raw ELSE raw + 1 END", lambda r: F.when(F.col("pos").between(8, 15), r).otherwise(r + 1)), "E6_zero": ("CASE WHEN folder = 1 THEN 0 ELSE raw END", lambda r: F.when(F.col("folder") == 1, F.lit(0)).otherwise(r))}
-for _name, (_sql, _edit) in EDITS.items():
-    query(_name, f"WITH {RAW} SELECT array_id, pos, CAST({_sql} AS BIGINT) AS raw FROM raw_cells")(lambda spark, d, edit=_edit: raw_cells(spark, d).select("array_id", "pos", edit(F.col("raw")).cast("long").alias("raw")))
-
-
 @query("E7_apply_deltas", f"WITH {RAW}, link AS (SELECT vec_id AS array_id, vec_id + 1 AS linked, 50 + vec_id % 50 AS confidence FROM embeddings) SELECT c.array_id, c.pos, c.raw + coalesce(b.raw - o.raw, 0) AS raw FROM raw_cells c LEFT JOIN link l ON l.array_id = c.array_id AND confidence >= 60 LEFT JOIN raw_cells b ON b.array_id = l.linked AND b.pos = c.pos LEFT JOIN raw_cells o ON o.array_id = l.linked + 1 AND o.pos = c.pos")
 def e7(spark, d):
     link = read(spark, d, "embeddings", "vec_id").select(F.col("vec_id").alias("array_id"), (F.col("vec_id") + 1).alias("linked"), (50 + F.col("vec_id") % 50).alias("confidence")).where("confidence >= 60")

@@ -262,13 +262,6 @@ def m13(spark, d):
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "sigma", "strength")})
 
 
-@query("M6_twins", "WITH h AS (SELECT p_partkey, md5(p_brand || p_type) AS id FROM part), g AS (SELECT id, min(p_partkey) AS first, count(*) AS twins FROM h GROUP BY id) SELECT p_partkey, first, twins FROM h JOIN g USING (id)")
-def m6(spark, d):
-    h = read(spark, d, "part", "p_partkey", "p_brand", "p_type").select("p_partkey", F.md5(F.concat("p_brand", "p_type")).alias("id"))
-    groups = h.groupBy("id").agg(F.min("p_partkey").alias("first"), F.count("*").alias("twins"))
-    return h.join(groups, "id").select("p_partkey", "first", "twins")
-
-
 @query("S13_catalog_projection", "SELECT s_suppkey, s_name, to_timestamp(CASE WHEN s_acctbal > 0 THEN CAST(round(s_acctbal) AS BIGINT) * 200000 END)::TIMESTAMP AS seen FROM supplier")
 def s13(spark, d):
     seconds = F.when(F.col("s_acctbal") > 0, F.round("s_acctbal").cast("long") * 200000)
@@ -281,11 +274,6 @@ def s14(spark, d):
     return read(spark, d, "orders", "o_orderkey", "o_totalprice").join(known, ["o_orderkey", "o_totalprice"], "left_anti").select("o_orderkey")
 
 
-@query("E13_last_write", "SELECT l_partkey AS off, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS after FROM lineitem GROUP BY l_partkey")
-def e13(spark, d):
-    return read(spark, d, "lineitem", "l_partkey", "l_quantity", "l_orderkey", "l_linenumber").groupBy(F.col("l_partkey").alias("off")).agg(F.max_by("l_quantity", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("after"))
-
-
 @query("O10_verdict_order", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 100")
 def o10(spark, d):
     return read(spark, d, "lineitem", "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(100)
@@ -317,12 +305,6 @@ def j15(spark, d):
     return left.join(right, ["k", "p"]).where((F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + width)).select("a", "b")
 
 
-@query("E8_import_changes", "SELECT p_partkey, CAST((p_size + (p_partkey * 7) % 256) % 256 AS INTEGER) AS relative, CAST(CASE WHEN p_partkey % 2 = 0 THEN (p_partkey * 7) % 256 ELSE p_size END AS INTEGER) AS absolute FROM part")
-def e8(spark, d):
-    new = F.col("p_partkey") * 7 % 256
-    return read(spark, d, "part").select("p_partkey", ((F.col("p_size") + new) % 256).cast("int").alias("relative"), F.when(F.col("p_partkey") % 2 == 0, new).otherwise(F.col("p_size")).cast("int").alias("absolute"))
-
-
 @query("F3_masked_replace", "SELECT p_partkey, replace(p_name, 'ar', 'AR') AS replaced FROM part")
 def f3(spark, d):
     from ..operators.greedy import replace_masked

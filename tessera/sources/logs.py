@@ -14,20 +14,30 @@ def _text(content: str):
     return F.regexp_replace(text, "^﻿", "")
 
 
+def _unquoted(cell):
+    """A cell without the quotes around it; a quote within them is written twice."""
+    return F.when(cell.rlike('^".*"$'), F.replace(F.regexp_replace(cell, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(cell)
+
+
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    """``log_id, row_idx, time_ms, channel, unit, value``.
+    """``samples_of`` the files of a path; a log's id is its path."""
+    return samples_of(spark.read.format("binaryFile").load(path).select(F.col("path").alias("log_id"), "content"))
+
+
+def samples_of(files: DataFrame) -> DataFrame:
+    """``log_id, row_idx, time_ms, channel, unit, value`` of files (log_id, content: binary).
 
     The delimiter is the one that the first line has most of. A header is either one
     line with ``timestamp`` and ``name (unit)``, or three lines (names with ``Time``,
     descriptions, units), whose times are seconds. A missing or bad cell is 0.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("log_id"), F.split(_text("content"), r"\r?\n").alias("lines"))
+    files = files.select("log_id", F.split(_text("content"), r"\r?\n").alias("lines"))
     count = lambda c: F.length(F.col("lines")[0]) - F.length(F.replace(F.col("lines")[0], F.lit(c), F.lit("")))
     best = F.array_max(F.array(*(F.struct(count(c).alias("n"), F.lit(-k).alias("rank"), F.lit(c).alias("c")) for k, c in enumerate(DELIMITERS))))["c"]
     rows = files.select("log_id", best.alias("d"), F.posexplode("lines").alias("no", "line")).where("trim(line) <> ''")
     outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a delimiter within quotes doesn't count
     parts = F.when(F.col("d") == ",", F.split("line", "," + outside)).when(F.col("d") == ";", F.split("line", ";" + outside)).otherwise(F.split("line", "\t" + outside))
-    cells = rows.select("log_id", "no", F.transform(parts, lambda x: F.regexp_replace(F.trim(x), '^"|"$', "")).alias("cells"))
+    cells = rows.select("log_id", "no", F.transform(parts, lambda x: _unquoted(F.trim(x))).alias("cells"))
     head = cells.where("no < 3").groupBy("log_id").agg(F.max(F.when(F.col("no") == 0, F.col("cells"))).alias("names"), F.max(F.when(F.col("no") == 2, F.col("cells"))).alias("units"))
     head = head.withColumn("three", ~F.exists("names", lambda x: F.lower(x).startswith("timestamp")))
     body = cells.join(head, "log_id").where(F.col("no") >= F.when(F.col("three"), 3).otherwise(1))
@@ -39,8 +49,13 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def map_list(spark: SparkSession, path: str) -> DataFrame:
-    """``address, name, size`` of lists ``Address;Name;Size``: the last row of an address holds; repeated names get `` [$ADDRESS]``."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(_text("content"), r"\r?\n")).alias("no", "line"))
+    """``map_list_of`` the files of a path."""
+    return map_list_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def map_list_of(files: DataFrame) -> DataFrame:
+    """``path, address, name, size`` of files (path, content: binary), lists ``Address;Name;Size``: the last row of an address holds; repeated names get `` [$ADDRESS]``."""
+    files = files.select("path", F.posexplode(F.split(_text("content"), r"\r?\n")).alias("no", "line"))
     p = F.split("line", ";")
     rows = files.where(F.col("line").rlike(r"^\s*(0x|\$)?[0-9A-Fa-f]+\s*;")).select("path", "no", F.conv(F.regexp_replace(F.trim(p[0]), r"^(0x|\$)", ""), 16, 10).cast("long").alias("address"), F.trim(p[1]).alias("name"), F.get(p, F.lit(2)).try_cast("int").alias("size"))
     last = rows.groupBy("path", "address").agg(F.max_by(F.struct("name", "size"), "no").alias("r")).select("path", "address", "r.name", "r.size")
