@@ -7,8 +7,8 @@ tokens than a window, at a forced cut. Its cost is
 
     padding(window) + penalty(cut at its end) + window_cost
 
-with padding 0 for a power of two from ``LEAST_EXACT`` and ``window - length``
-otherwise, and with a penalty of 0 at a document end. Apart from those lengths the
+with padding 0 for a power of two from ``LEAST_EXACT``, or of any power at a stream's
+end, and ``window - length`` otherwise, and with a penalty of 0 at a document end. Apart from those lengths the
 cost is ``f(i) + b(i)`` plus terms that depend on j only, so the best start of a
 window that ends at j is the minimum of a sliding range, kept in a monotone queue.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ END_ID = 2
 SENTENCE_PENALTY = 8.0
 FORCED_PENALTY = 64.0
 WINDOW_COST = 4.0
-#: Windows of a smaller power of two are planned as if they were padded.
+#: Windows of a smaller power of two are planned as if they were padded, but at the end of a stream.
 LEAST_EXACT = 64
 #: Tokens planned together; bounds the memory of a task.
 STRETCH = 1 << 20
@@ -53,10 +53,10 @@ class _Words(dict):
     #: Bytes that stand for themselves in a byte-level vocabulary; the others get the code points from 256 on, in order.
     PRINTED = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 
-    def __init__(self, model, limit: int) -> None:
+    def __init__(self, model, ids: int, limit: int) -> None:
         rest = [b for b in range(256) if b not in self.PRINTED]
         self.model, self.limit, self.letters = model, limit, {b: 256 + k for k, b in enumerate(rest)}
-        self.spelled = [n.to_bytes(4, "little") for n in range(1 << 16)]
+        self.spelled = [n.to_bytes(4, "little") for n in range(ids)]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
@@ -84,12 +84,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Words(self.tokenizer.model, max_words)
+        ids = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        self.known = _Words(self.tokenizer.model, ids, max_words)
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its token closes a sentence."""
-        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
-        for token, number in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        for token, number in vocabulary.items():
             ends[number] = re.fullmatch(r"[.!?]+[\"')\]]*", token.removesuffix("</w>")) is not None
         return ends
 
@@ -99,14 +101,14 @@ class WordTokenizer:
         return np.frombuffer(b"".join(map(self.known.__getitem__, self.WORDS.findall(text.lower()))), dtype="<u4")
 
 
-def plan_cuts(bounds: np.ndarray, penalty: np.ndarray, window: int = WINDOW, window_cost: float = WINDOW_COST) -> list[int]:
+def plan_cuts(bounds: np.ndarray, penalty: np.ndarray, window: int = WINDOW, window_cost: float = WINDOW_COST, least_exact: int = LEAST_EXACT) -> list[int]:
     """Indices into ``bounds`` of the cheapest cuts, first and last included.
 
     ``bounds`` rises from 0 with steps of at most ``window``.
     """
     at, fee, n = bounds.tolist(), penalty.tolist(), len(bounds)
     exact: dict[int, list[int]] = {}
-    size = LEAST_EXACT
+    size = least_exact
     while size < window:
         start = np.searchsorted(bounds, bounds - size)
         for j in np.flatnonzero((bounds >= size) & (bounds[np.minimum(start, n - 1)] == bounds - size)).tolist():
@@ -138,8 +140,8 @@ def plan_cuts(bounds: np.ndarray, penalty: np.ndarray, window: int = WINDOW, win
 def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places where a stretch may be cut and what a cut there costs.
 
-    The end of a stream may also be cut at multiples of ``LEAST_EXACT`` before its end,
-    so that its last tokens can go to windows of powers of two.
+    The end of a stream may also be cut at multiples of ``LEAST_EXACT`` before its end, and
+    anywhere in its last ``LEAST_EXACT``, so that its last tokens can go to windows of powers of two.
     """
     places = np.union1d(np.flatnonzero(sentence_ends[ids]) + 1, doc_ends)
     places = np.concatenate(([0], places[places > 0]))
@@ -149,7 +151,8 @@ def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, wi
     fees = np.full(len(places), SENTENCE_PENALTY)
     fees[np.isin(places, doc_ends)] = 0.0
     if last:
-        forced.append(np.setdiff1d(len(ids) - LEAST_EXACT * np.arange(1, 2 * window // LEAST_EXACT), places))
+        tail = np.concatenate((np.arange(1, LEAST_EXACT), LEAST_EXACT * np.arange(1, 2 * window // LEAST_EXACT)))
+        forced.append(np.setdiff1d(len(ids) - tail, places))
     if forced:
         more = np.concatenate(forced)
         more = np.setdiff1d(more[more > 0], places)
@@ -159,13 +162,14 @@ def _bounds(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, wi
     return places, fees
 
 
-def _pack_stream(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, stretch: int) -> Iterator[pa.RecordBatch]:
+def _pack_stream(batches: Iterator[pa.RecordBatch], path: str | Callable[[], str], window: int, end_id: int, stretch: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 32
-    tokenizer = WordTokenizer(path)
+    tokenizer = WordTokenizer(path() if callable(path) else path)
     ends = tokenizer.sentence_ends()
+    ends = np.concatenate((ends, np.zeros(max(0, end_id + 1 - len(ends)), dtype=bool)))
     names, parts, skipped = [], [], []  # of the documents in the buffer: id, tokens, tokens already placed
     held = 0
 
@@ -174,7 +178,7 @@ def _pack_stream(batches: Iterator[pa.RecordBatch], path: str, window: int, end_
         ids = np.concatenate(parts)
         doc_ends = np.cumsum([len(p) for p in parts])
         places, fees = _bounds(ids, doc_ends, ends, window, last)
-        cuts = places[plan_cuts(places, fees, window)]
+        cuts = places[plan_cuts(places, fees, window, least_exact=1 if last else LEAST_EXACT)]
         if not last:
             cuts = cuts[:-2] if len(cuts) > 3 else cuts
         till = int(cuts[-1])
@@ -223,12 +227,13 @@ def _pack_stream(batches: Iterator[pa.RecordBatch], path: str, window: int, end_
         yield flush(last=True)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | Callable[[], str], *, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
     """Pieces of documents and their places in sequences of at most ``window`` tokens.
 
     Returns ``PIECES``: ``ids_le`` holds the piece's ids as little-endian unsigned
     32-bit integers, ``sequence_id`` is unique in the result, ``offset`` is the
-    piece's place in its sequence. The order of a partition's documents is kept.
+    piece's place in its sequence. The order of a partition's documents is kept. A function
+    as ``tokenizer_path`` is called on the executors.
     """
     ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

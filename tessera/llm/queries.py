@@ -26,7 +26,7 @@ def _remainder(divisor: int, id_col: str = "doc_id"):
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path)
     return pieces.select("doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
