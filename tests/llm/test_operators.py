@@ -38,6 +38,9 @@ def test_packing_round_trip(spark):
     for _, g in got.groupby("sequence_id"):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 4096
     assert packing.pack(frame.limit(0), tokenizer_path()).count() == 0
+    for n in (1, 3, 37, 63, 100):  # few tokens go to windows of powers of two
+        few = packing.pack(spark.createDataFrame([(1, "a " * (n - 1))], "doc_id long, text string").coalesce(1), tokenizer_path)
+        assert packing.padding(few).agg(F.sum("padding"), F.sum("tokens")).first() == (0, n)
     waste = packing.padding(spark.createDataFrame(got[["sequence_id", "length"]])).agg(F.sum("padding"), F.sum("tokens")).first()
     assert waste[0] < 0.2 * waste[1]
 
