@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens into windows of 4096."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path)
 
 
 STAGES = [
