@@ -218,9 +218,8 @@ def sampled(frame: DataFrame, id_col: str, most: int) -> DataFrame:
     return frame.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / count))
 
 
-def counted(texts: list[str], languages: list[int]) -> pa.RecordBatch:
-    """``size, lang, key, n``: how often words (size 0) and n-grams occur in texts of each language."""
-    out: list[list[np.ndarray]] = []
+def counted(texts: list[str], languages: list[int]) -> Iterator[pa.RecordBatch]:
+    """``size, lang, key, n``: how often words (size 0) and n-grams occur in texts of each language, some texts a batch."""
     owner = np.array(languages, dtype=np.int64)
     for parts, owners in grouped(texts):
         words = Words.of(parts)
@@ -228,14 +227,15 @@ def counted(texts: list[str], languages: list[int]) -> pa.RecordBatch:
         for k in np.unique(lang).tolist():
             keys, first, times = np.unique(words.hashes[lang == k], return_index=True, return_counts=True)
             values, lengths = words.marked(np.flatnonzero(lang == k)[first])
-            found = [(keys, times)]
-            for size in range(1, LONGEST + 1):
-                hashes, word = grams(values, lengths, size)
-                distinct, place = np.unique(hashes, return_inverse=True)
-                found.append((distinct, np.bincount(place, times[word]).astype(np.int64)))
-            out += [[np.full(len(keys), size, dtype=np.int32), np.full(len(keys), k, dtype=np.int32), keys.view(np.int64), n] for size, (keys, n) in enumerate(found)]
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=t) for t in (np.int32, np.int32, np.int64, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["size", "lang", "key", "n"])
+            for size in range(LONGEST + 1):
+                if size:
+                    hashes, word = grams(values, lengths, size)
+                    keys, place = np.unique(hashes, return_inverse=True)
+                    n = np.bincount(place, times[word], minlength=len(keys)).astype(np.int64)
+                else:
+                    n = times
+                columns = (np.full(len(keys), size, dtype=np.int32), np.full(len(keys), k, dtype=np.int32), keys.view(np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["size", "lang", "key", "n"])
 
 
 def tables_of(counts: pa.Table, languages: int) -> list[Table]:
@@ -265,7 +265,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {name: k for k, name in enumerate(names)}
         for batch in batches:
-            yield counted(batch.column(0).to_pylist(), [number[x] for x in batch.column(1).to_pylist()])
+            yield from counted(batch.column(0).to_pylist(), [number[x] for x in batch.column(1).to_pylist()])
 
     found = rows.where(~F.coalesce(held, F.lit(False))).select("text", "lang").mapInArrow(count, "size int, lang int, key long, n long")
     counts = found.groupBy("size", "lang", "key").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
