@@ -70,12 +70,13 @@ def rational_to_phys(raw: Column, a: float, b: float, c: float, d: float, e: flo
 
 
 def encode(raw: Column, width: int, signed: bool) -> Column:
-    """``value, status`` of a number stored as an integer: rounded half away from zero, then clamped."""
+    """``value, status`` of a number stored as an integer: rounded half away from zero, then clamped; null if it isn't finite."""
     low, high = (-(1 << (8 * width - 1)), (1 << (8 * width - 1)) - 1) if signed else (0, (1 << (8 * width)) - 1)
     finite = raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) != float("inf"))
     rounded = F.round(F.when(finite, raw))
     status = F.when(~finite, "NonFinite").when((rounded < low) | (rounded > high), "Clamped").otherwise("Ok")
-    return F.struct(F.least(F.greatest(rounded, F.lit(float(low))), F.lit(float(high))).cast("long").alias("value"), status.alias("status"))
+    held = F.when(rounded.isNotNull(), F.least(F.greatest(rounded, F.lit(float(low))), F.lit(float(high))))
+    return F.struct(held.cast("long").alias("value"), status.alias("status"))
 
 
 def hex_text(value: Column, width: int) -> Column:
