@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ STRETCH = 1024
 
 def known_evidence(columns: int, rows: int, width: int, axis_width: int, axis_score: float) -> tuple[float, ...]:
     """What is known of a candidate before its cells are read."""
-    return (1.0, np.log2(columns), np.log2(rows), float(rows == 1), axis_score / 100, float(width == axis_width), float(width == 1), float(width == 4))
+    return (1.0, math.log2(columns), math.log2(rows), float(rows == 1), axis_score / 100, float(width == axis_width), float(width == 1), float(width == 4))
 
 
 def seen_evidence(values: np.ndarray) -> tuple[float, ...]:
@@ -32,16 +34,15 @@ def seen_evidence(values: np.ndarray) -> tuple[float, ...]:
     Mean bends along rows and columns, within the cells' range and as a share of twice the
     mean steps; equal neighbours; flatness.
     """
-    span = float(np.ptp(values))
+    span = float(values.max() - values.min())
     if span == 0:
         return (0.0, 0.0, 0.0, 0.0, 1.0, 1.0)
-    out = []
-    for axis in (1, 0):
-        step = np.diff(values, axis=axis)
-        bend = float(np.abs(np.diff(step, axis=axis)).mean()) if values.shape[axis] > 2 else 0.0
-        mean = float(np.abs(step).mean()) if values.shape[axis] > 1 else 0.0
-        out += [min(1.0, bend / span), min(1.0, bend / (2 * mean)) if mean else 0.0]
-    return (*out, float((np.diff(values, axis=1) == 0).mean()) if values.shape[1] > 1 else 0.0, 0.0)
+    steps, out = (values[:, 1:] - values[:, :-1], values[1:] - values[:-1]), []
+    for step, bend in zip(steps, (steps[0][:, 1:] - steps[0][:, :-1], steps[1][1:] - steps[1][:-1]), strict=True):
+        bends = float(np.abs(bend).sum()) / bend.size if bend.size else 0.0
+        mean = float(np.abs(step).sum()) / step.size if step.size else 0.0
+        out += [min(1.0, bends / span), min(1.0, bends / (2 * mean)) if mean else 0.0]
+    return (*out, 1.0 - np.count_nonzero(steps[0]) / steps[0].size if steps[0].size else 0.0, 0.0)
 
 
 def fit_evidence(known: list, seen: list, labels: list, ridge: float = 1.0, rounds: int = 60) -> tuple[tuple[float, ...], tuple[float, ...]]:
@@ -80,18 +81,20 @@ def maps_of(data: bytes, big_endian_axes: bool = False, least: float = 95.0) ->
     The score is the chance, in percent, that a logistic model of the evidence gives. Cells
     are read only where they could lift the score to ``least``. A candidate goes if half of it lies in a better one; ties by offset.
     """
-    best_seen = sum(max(0.0, w) for w in SEEN_WEIGHTS)
-    wanted = float(np.log(least / (100 - least)))
+    wanted = math.log(least / (100 - least))
+    # what is known must reach this much, with the best that the cells could show
+    enough = wanted - sum(max(0.0, w) for w in SEEN_WEIGHTS)
+    kinds = {(w, b): np.dtype(f"{'>' if b else '<'}u{w}") for w in WIDTHS for b in (False, True)}
     found: dict[tuple, float] = {}
     for at, n, m, width, big, axis_width, axis_score in candidates(data, big_endian_axes):
-        odds = float(np.dot(KNOWN_WEIGHTS, known_evidence(n, m, width, axis_width, axis_score)))
-        if odds + best_seen < wanted:
+        odds = sum(map(mul, KNOWN_WEIGHTS, known_evidence(n, m, width, axis_width, axis_score)))
+        if odds < enough:
             continue
-        values = np.frombuffer(data, f"{'>' if big else '<'}u{width}", n * m, at).astype(np.float64).reshape(m, n)
-        odds += float(np.dot(SEEN_WEIGHTS, seen_evidence(values)))
+        values = np.frombuffer(data, kinds[width, big], n * m, at).astype(np.float64).reshape(m, n)
+        odds += sum(map(mul, SEEN_WEIGHTS, seen_evidence(values)))
         if odds >= wanted:
             key = (at, n, m, width, big)
-            found[key] = max(found.get(key, 0.0), 100 / (1 + float(np.exp(-odds))))
+            found[key] = max(found.get(key, 0.0), 100 / (1 + math.exp(-odds)))
     kept: list = []
     touched: dict[int, list[tuple[int, int]]] = {}
     for key, score in sorted(found.items(), key=lambda c: (-c[1], c[0])):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +35,24 @@ def replace_masked(data: Column, find: str, put: str, most: int | None = None) -
     return run(data)
 
 
-def suppress_overlaps(spans: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """Spans (key, begin, end, score) kept from the best score down, unless ``share`` of one is covered by a kept span."""
+def suppress_overlaps(spans: DataFrame, key: str, share: float = 0.5, stretch: int = 64) -> DataFrame:
+    """Spans (key, begin, end, score) kept from the best score down, unless ``share`` of one is covered by a kept span.
+
+    A key is one image's or text's candidates and stays in one task. Kept spans are looked
+    up by the stretches that they touch. Spans of no length are kept; ties go to the
+    smaller begin, then end; rows with a null begin or end are left out.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
+        touched: dict[int, list[tuple[int, int]]] = {}
         best = []
-        rows = rows.sort_values(["score", "begin", "end"], ascending=[False, True, True], kind="stable")
+        rows = rows.dropna(subset=["begin", "end"]).sort_values(["score", "begin", "end"], ascending=[False, True, True], kind="stable")
         for k, (a, b) in enumerate(zip(rows["begin"], rows["end"], strict=True)):
-            if all(min(b, d) - max(a, c) < share * (b - a) for c, d in kept):
-                kept.append((a, b))
+            places = range(int(a // stretch), int(b // stretch) + 1)
+            near = {span for place in places for span in touched.get(place, ())}
+            if b <= a or all(min(b, d) - max(a, c) < share * (b - a) for c, d in near):
+                for place in places:
+                    touched.setdefault(place, []).append((a, b))
                 best.append(k)
         return rows.iloc[best]
 
@@ -50,33 +60,28 @@ def suppress_overlaps(spans: DataFrame, key: str, share: float = 0.5) -> DataFra
 
 
 def seed_clusters(sets: DataFrame, key: str, name: str, items: str, least: float = 0.5) -> DataFrame:
-    """Greedy clusters (key, name, seed): a set joins the first seed it overlaps by Jaccard, in order of name, or becomes one."""
+    """Greedy clusters (key, name, seed): a set joins the first seed it overlaps by Jaccard, in order of name, or becomes one.
+
+    A key's sets stay in one task; only seeds that share an item are compared. A null set
+    counts as empty, and empty sets are alone.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[tuple[object, set]] = []
+        seeds: list[tuple[object, int]] = []
+        holding: dict[object, list[int]] = {}
         found = []
         rows = rows.sort_values(name, kind="stable")
-        for n, own in zip(rows[name], map(set, rows[items]), strict=True):
-            seed = next((s for s, other in seeds if own | other and len(own & other) / len(own | other) >= least), None)
-            if seed is None:
-                seeds.append((n, own))
-                seed = n
-            found.append(seed)
+        for n, own in zip(rows[name], (set(() if x is None else x) for x in rows[items]), strict=True):
+            shared = Counter(s for item in own for s in holding.get(item, ()))
+            near = [s for s, both in shared.items() if both >= least * (len(own) + seeds[s][1] - both)]
+            if near:
+                found.append(seeds[min(near)][0])
+                continue
+            for item in own:
+                holding.setdefault(item, []).append(len(seeds))
+            seeds.append((n, len(own)))
+            found.append(n)
         return pd.DataFrame({key: rows[key], name: rows[name], "seed": found})
 
     kinds = dict(sets.dtypes)
     return sets.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {name} {kinds[name]}, seed {kinds[name]}")
-
-
-def newest_wins(spans: DataFrame, key: str) -> DataFrame:
-    """Non-overlapping spans of (key, begin, end, seq), ends excluded: where two overlap, the higher ``seq`` holds; pieces keep theirs."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        for a, b, s in rows.sort_values("seq", kind="stable")[["begin", "end", "seq"]].itertuples(index=False):
-            out = [p for c, d, t in out for p in ((c, min(d, a), t), (max(c, b), d, t)) if p[0] < p[1]] + ([(a, b, s)] if a < b else [])
-        made = pd.DataFrame(sorted(out), columns=["begin", "end", "seq"]).astype("int64")
-        made.insert(0, key, rows[key].iloc[0])
-        return made
-
-    return spans.groupBy(key).applyInPandas(run, f"{key} {dict(spans.dtypes)[key]}, begin long, end long, seq long")

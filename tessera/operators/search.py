@@ -117,3 +117,34 @@ def consensus(voices: DataFrame, address: str, delta: str, whole: int) -> DataFr
 def first_of(frame: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key."""
     return frame.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def family(text: Column, patterns: list[tuple[str, str, int]], fallback: Column, sure: int = 80) -> Column:
+    """``family, sure`` by the pattern (needle, family, score) of the highest score that occurs with no letter or digit behind it; the first on ties.
+
+    Without any the fallback, which is never sure; a null text has the fallback.
+    """
+    best = F.struct(F.lit(None).cast("int").alias("score"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("family"))
+    hits = [F.when(text.rlike(re.escape(needle) + "(?![0-9A-Za-z])"), F.struct(F.lit(score).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("family"))) for k, (needle, name, score) in enumerate(patterns)]
+    found = F.array_max(F.array_compact(F.array(*hits, F.when(F.lit(False), best))))
+    return F.struct(F.coalesce(found["family"], fallback).alias("family"), F.coalesce(found["score"] >= sure, F.lit(False)).alias("sure"))
+
+
+def resolve_folder(folders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted, path, status`` of texts (wanted): a folder (path) by its full path or else its last segment, if just one fits; case doesn't matter."""
+    last = F.lower(F.element_at(F.split("path", "/"), -1))
+    keyed = folders.select("path", F.explode(F.array(F.struct(F.lower("path").alias("key"), F.lit(True).alias("whole")), F.struct(last.alias("key"), F.lit(False).alias("whole")))).alias("k")).select("path", "k.key", "k.whole")
+    hits = keyed.groupBy("key", "path").agg(F.bool_or("whole").alias("whole")).groupBy("key").agg(F.count_if("whole").alias("full"), F.count("*").alias("every"), F.min(F.when(F.col("whole"), F.col("path"))).alias("exact"), F.min("path").alias("any"))
+    found = wanted.join(hits, F.lower("wanted") == F.col("key"), "left")
+    path = F.when(F.col("full") == 1, F.col("exact")).when(F.col("every") == 1, F.col("any"))
+    return found.select("wanted", path.alias("path"), F.when(F.col("key").isNull(), "missing").when(path.isNotNull(), "found").otherwise("ambiguous").alias("status"))
+
+
+def tree_filter(nodes: DataFrame, text: str, condition: Column | None = None) -> DataFrame:
+    """``path, hit`` of the nodes (path) that hold a text, as it is or without separators, and meet a condition; and of all their parents."""
+    plain = lambda c: F.regexp_replace(c, r"[\s/_.-]", "")
+    low, wanted = F.lower("path"), F.lower(F.lit(text))
+    hits = nodes.where((F.contains(low, wanted) | F.contains(plain(low), plain(wanted))) & (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))))
+    parts = F.split("path", "/")
+    shown = hits.select(parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k"))
+    return shown.groupBy(F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("path")).agg(F.bool_or(F.col("k") == F.size("parts")).alias("hit"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import channels, units
-from ..operators import arrays, greedy, images, linking, sinks
+from ..operators import arrays, images, linking, sequences, sinks
 from ..sources import definitions
 from ..sources import images as image_files
 from .carriers import CELLS, PAIR, RAW, SAMPLES, cells, next_cells, raw_cells, read, samples
@@ -188,10 +188,16 @@ def f15(spark, d):
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", best.alias("b")).where("b IS NOT NULL").select("doc_id", "b.mark", (-F.col("b.k")).alias("score"))
 
 
-@query("U6_newest_region_wins")
+@query(
+    "U6_newest_region_wins",
+    """WITH s AS (SELECT p_brand, p_partkey % 997 AS a, p_partkey % 997 + p_size AS b, p_partkey AS seq FROM part WHERE p_size > 0), p AS (SELECT DISTINCT p_brand, unnest([a, b]) AS a FROM s),
+    q AS (SELECT p_brand, a, lead(a) OVER (PARTITION BY p_brand ORDER BY a) AS b FROM p), h AS (SELECT q.p_brand, q.a, q.b, max(seq) AS seq FROM q JOIN s ON s.p_brand = q.p_brand AND s.a <= q.a AND s.b >= q.b GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(seq) OVER w = seq THEN 0 ELSE 1 END AS n FROM h WINDOW w AS (PARTITION BY p_brand ORDER BY a)), r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM m)
+    SELECT p_brand, min(a) AS "begin", max(b) AS "end", any_value(seq) AS seq FROM r GROUP BY p_brand, run""",
+)
 def u6(spark, d):
-    spans = read(spark, d, "part").select("p_brand", (F.col("p_partkey") % 997).cast("long").alias("begin"), (F.col("p_partkey") % 997 + F.col("p_size")).cast("long").alias("end"), F.col("p_partkey").cast("long").alias("seq"))
-    return greedy.newest_wins(spans, "p_brand")
+    spans = read(spark, d, "part").select("p_brand", (F.col("p_partkey") % 997).alias("begin"), (F.col("p_partkey") % 997 + F.col("p_size")).alias("end"), F.col("p_partkey").alias("seq"))
+    return sequences.newest_wins(spans, "p_brand")
 
 
 @query("E3_write_modes", f"WITH {RAW} SELECT array_id, pos, CAST(CASE col WHEN 0 THEN 100 WHEN 1 THEN raw + 5 WHEN 2 THEN round(raw * 1.1) WHEN 3 THEN (row % 2) * 255 ELSE raw END AS BIGINT) AS raw FROM raw_cells")

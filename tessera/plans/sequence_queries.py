@@ -18,9 +18,11 @@ def w1(spark, d):
     return found.withColumns({"low": F.round("low", 4), "high": F.round("high", 4)})
 
 
-@query("W2_load_threshold", f"WITH {SAMPLES} SELECT event_id, value >= 0.85 * max(value) OVER (PARTITION BY log_id) AS loaded FROM samples")
+@query("W2_load_threshold", f"WITH {SAMPLES} SELECT event_id, CASE log_id % 3 WHEN 0 THEN value >= 0.85 * max(value) OVER (PARTITION BY log_id) WHEN 1 THEN value >= 95 ELSE true END AS loaded FROM samples")
 def w2(spark, d):
-    return samples(spark, d).select("event_id", (F.col("value") >= 0.85 * F.max("value").over(Window.partitionBy("log_id"))).alias("loaded"))
+    kind = F.col("log_id") % 3
+    load, throttle = F.when(kind == 0, F.col("value")), F.when(kind == 1, F.col("value"))
+    return samples(spark, d).select("event_id", sequences.loaded(load, throttle, ["log_id"]).alias("loaded"))
 
 
 def _island_sql(gap: int) -> str:
@@ -75,16 +77,16 @@ def f19(spark, d):
     return samples(spark, d).where(F.col("t").between(1704500000000, 1705000000000)).select("event_id", "t")
 
 
-SPANS = "spans AS (SELECT p_partkey AS span_id, p_partkey * 37 % 20000 AS a, p_partkey * 37 % 20000 + p_size AS b FROM part WHERE p_partkey % 7 = 0)"
+SPANS = "spans AS (SELECT p_partkey AS span_id, p_partkey * 37 % 20000 AS a, p_partkey * 37 % 20000 + p_size AS b FROM part)"
 
 
 def spans(spark, d):
-    return read(spark, d, "part", "p_partkey", "p_size").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("span_id"), (F.col("p_partkey") * 37 % 20000).alias("a"), (F.col("p_partkey") * 37 % 20000 + F.col("p_size")).alias("b"))
+    return read(spark, d, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("span_id"), (F.col("p_partkey") * 37 % 20000).alias("a"), (F.col("p_partkey") * 37 % 20000 + F.col("p_size")).alias("b"))
 
 
 @query("J5_interval_join", f"WITH {SPANS} SELECT o_orderkey, span_id FROM orders JOIN spans ON o_orderkey BETWEEN a AND b")
 def j5(spark, d):
-    return sequences.in_intervals(read(spark, d, "orders", "o_orderkey"), "o_orderkey", spans(spark, d), "a", "b", 64).select("o_orderkey", "span_id")
+    return sequences.in_intervals(read(spark, d, "orders", "o_orderkey"), "o_orderkey", spans(spark, d), "a", "b").select("o_orderkey", "span_id")
 
 
 @query("J6_annotations_at", f"WITH {SPANS} SELECT o_orderkey, count(*) AS annotations, min(span_id) AS first FROM orders JOIN spans ON o_orderkey BETWEEN a AND b GROUP BY o_orderkey")
@@ -106,18 +108,29 @@ def j8(spark, d):
 
 @query("J12_outside", f"WITH {SPANS} SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM spans WHERE o_orderkey BETWEEN a AND b)")
 def j12(spark, d):
-    return sequences.outside_intervals(read(spark, d, "orders", "o_orderkey"), "o_orderkey", spans(spark, d), "a", "b", 64)
+    return sequences.outside_intervals(read(spark, d, "orders", "o_orderkey"), "o_orderkey", spans(spark, d), "a", "b")
 
 
-@query("O9_longest_pull", f"WITH {SAMPLES}, k AS (SELECT log_id, channel, count(*) AS n, min(t) AS t FROM samples GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY n DESC, t) AS k FROM k) SELECT log_id, channel, n FROM r WHERE k = 1")
+PULLS = f"{SAMPLES}, o AS (SELECT *, coalesce(value >= 5 AND value >= lag(value) OVER w, false) AS ok, lead(t) OVER w AS after FROM samples WINDOW w AS (PARTITION BY log_id ORDER BY t, event_id)), g AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY log_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o), r AS (SELECT log_id, run, min(t) AS begin_at, max(t) AS end_at, arg_max(after, t) AS after, min(value) AS low, max(value) AS high, count(*) AS n FROM g WHERE ok GROUP BY log_id, run), pulls AS (SELECT log_id, begin_at, end_at, low, high, n FROM r WHERE high - low >= 1 AND coalesce(after, end_at) - begin_at >= {HOUR}), best AS (SELECT * FROM pulls QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY end_at - begin_at DESC, begin_at) = 1)"
+
+
+def best_pulls(spark, d):
+    return sequences.longest_rise(sequences.rises(samples(spark, d), ["log_id"], ["t", "event_id"], "value", F.col("value") >= 5, 1, HOUR, "t"), ["log_id"])
+
+
+@query("O9_longest_pull", f"WITH {PULLS} SELECT log_id, begin_at, end_at, round(high, 4) AS high, n FROM best")
 def o9(spark, d):
-    runs = samples(spark, d).groupBy("log_id", "channel").agg(F.count("*").alias("n"), F.min("t").alias("t"))
-    return runs.groupBy("log_id").agg(F.max_by(F.struct("channel", "n"), F.struct(F.col("n"), -F.col("t"))).alias("b")).select("log_id", "b.channel", "b.n")
+    return best_pulls(spark, d).select("log_id", "begin_at", "end_at", F.round("high", 4).alias("high"), "n")
 
 
-@query("M17_log_comparison", f"WITH {SAMPLES}, a AS (SELECT log_id, max(value) AS peak, min(value) AS low, avg(value) AS mean FROM samples GROUP BY log_id), u AS (UNPIVOT a ON peak, low, mean INTO NAME metric VALUE v) SELECT x.log_id, x.metric, round(y.v - x.v, 6) AS delta FROM u x JOIN u y ON y.log_id = x.log_id + 1 AND x.metric = y.metric")
+@query(
+    "M17_log_comparison",
+    f"""WITH {PULLS}, m AS (SELECT log_id, max(value) AS peak, min(value) AS low, avg(value) AS mean, max(value) - min(value) AS spread, (arg_min(t, (-value, t)) - min(begin_at)) / 1000.0 AS peak_after, (max(end_at) - min(begin_at)) / 1000.0 AS duration, count(*)::DOUBLE AS samples
+        FROM (SELECT s.log_id, s.t, s.value, b.begin_at, b.end_at FROM samples s JOIN best b ON s.log_id = b.log_id AND s.t BETWEEN b.begin_at AND b.end_at) GROUP BY log_id),
+    u AS (UNPIVOT m ON peak, low, mean, spread, peak_after, duration, samples INTO NAME metric VALUE v) SELECT x.log_id, x.metric, round(y.v - x.v, 6) AS delta FROM u x JOIN u y ON y.log_id = x.log_id + 1 AND x.metric = y.metric""",
+)
 def m17(spark, d):
-    u = samples(spark, d).groupBy("log_id").agg(F.max("value").alias("peak"), F.min("value").alias("low"), F.avg("value").alias("mean")).unpivot("log_id", ["peak", "low", "mean"], "metric", "v")
+    u = sequences.rise_metrics(samples(spark, d), best_pulls(spark, d), ["log_id"], "t", "value")
     other = u.select((F.col("log_id") - 1).alias("log_id"), "metric", F.col("v").alias("other"))
     return u.join(other, ["log_id", "metric"]).select("log_id", "metric", F.round(F.col("other") - F.col("v"), 6).alias("delta"))
 

@@ -53,14 +53,23 @@ def tree(spark, d):
     return joined.select("c_custkey", F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("path"))
 
 
-@query("F10_folder_resolve", f"WITH {TREE} SELECT path, count(*) AS n FROM tree WHERE split_part(path, '/', -1) = 'BUILDING' GROUP BY path")
+WANTED = ["BUILDING", "AMERICA/NATION_1/BUILDING", "europe/nation_3/machinery", "Nowhere", "AMERICA/NATION_1/building"]
+
+
+@query("F10_folder_resolve", f"""WITH {TREE}, folders AS (SELECT DISTINCT path FROM tree), w AS (SELECT unnest({WANTED}) AS wanted),
+    hits AS (SELECT wanted, path, lower(path) = lower(wanted) AS whole FROM w JOIN folders ON lower(path) = lower(wanted) OR lower(split_part(path, '/', -1)) = lower(wanted)),
+    n AS (SELECT wanted, count(*) FILTER (whole) AS full, count(*) AS every, min(path) FILTER (whole) AS exact, min(path) AS any FROM hits GROUP BY wanted)
+    SELECT wanted, CASE WHEN n.full = 1 THEN exact WHEN every = 1 THEN n.any END AS path, CASE WHEN n.wanted IS NULL THEN 'missing' WHEN n.full = 1 OR every = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM w LEFT JOIN n USING (wanted)""")
 def f10(spark, d):
-    return tree(spark, d).where(F.element_at(F.split("path", "/"), -1) == "BUILDING").groupBy("path").agg(F.count("*").alias("n"))
+    return search.resolve_folder(tree(spark, d).select("path").distinct(), spark.createDataFrame([(w,) for w in WANTED], "wanted string"))
 
 
-@query("F21_tree_filter", f"WITH {TREE}, hits AS (SELECT path FROM tree WHERE contains(lower(replace(path, '/', '')), 'ia')) SELECT DISTINCT split_part(path, '/', 1) AS parent FROM hits")
+@query("F21_tree_filter", f"""WITH {TREE}, t AS (SELECT path, max(c_custkey) AS last, bool_or(c_custkey % 4 = 0) AS changed, bool_or(c_custkey % 9 = 0) AS starred FROM tree GROUP BY path),
+    hits AS (SELECT path FROM t WHERE (contains(lower(path), 'tion1') OR contains(regexp_replace(lower(path), '[ /_.-]', '', 'g'), 'tion1')) AND changed AND starred AND last >= 100)
+    SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS path, max(CAST(k = 3 AS INTEGER)) = 1 AS hit FROM hits, range(1, 4) r(k) GROUP BY 1""")
 def f21(spark, d):
-    return tree(spark, d).where(F.contains(F.lower(F.replace("path", F.lit("/"), F.lit(""))), F.lit("ia"))).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("parent")).distinct()
+    nodes = tree(spark, d).groupBy("path").agg(F.max("c_custkey").alias("last"), F.bool_or(F.col("c_custkey") % 4 == 0).alias("changed"), F.bool_or(F.col("c_custkey") % 9 == 0).alias("starred"))
+    return search.tree_filter(nodes, "tion1", F.col("changed") & F.col("starred") & (F.col("last") >= 100))
 
 
 @query("F11_purpose", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%brass%' THEN 'fuel' WHEN lower(p_type) LIKE 'small%' THEN 'air' WHEN lower(p_type) LIKE '%steel' THEN 'spark' ELSE 'unknown' END AS purpose FROM part")
@@ -76,11 +85,11 @@ def f12(spark, d):
     return found.select("p_partkey", "p_retailprice").distinct()
 
 
-@query("F13_family_detection", "SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#[45]5([^0-9A-Za-z]|$)') THEN 'five' WHEN regexp_matches(p_brand, '#1[0-9]([^0-9A-Za-z]|$)') THEN 'one' WHEN p_size > 25 THEN 'large' ELSE 'small' END AS family FROM part")
+@query("F13_family_detection", r"SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'PLATED STEEL([^0-9A-Za-z]|$)') THEN 'plated' WHEN regexp_matches(p_type, 'STEEL([^0-9A-Za-z]|$)') THEN 'steel' WHEN regexp_matches(p_type, 'COPPER([^0-9A-Za-z]|$)') THEN 'copper' WHEN p_size > 25 THEN 'large' ELSE 'small' END AS family, regexp_matches(p_type, '(PLATED STEEL|STEEL)([^0-9A-Za-z]|$)') AS sure FROM part")
 def f13(spark, d):
-    after = r"(?![0-9A-Za-z])"
-    family = F.when(F.col("p_brand").rlike("#[45]5" + after), "five").when(F.col("p_brand").rlike("#1[0-9]" + after), "one").when(F.col("p_size") > 25, "large").otherwise("small")
-    return read(spark, d, "part").select("p_partkey", family.alias("family"))
+    patterns = [("COPPER", "copper", 60), ("STEEL", "steel", 80), ("PLATED STEEL", "plated", 95), ("STEE", "never", 99)]
+    found = search.family(F.col("p_type"), patterns, F.when(F.col("p_size") > 25, "large").otherwise("small"))
+    return read(spark, d, "part").select("p_partkey", found["family"].alias("family"), found["sure"].alias("sure"))
 
 
 @query("F16_dictionary_search", "SELECT DISTINCT p_brand, p_type FROM part WHERE contains(lower(p_brand || ' ' || p_type), '1') ORDER BY p_brand, p_type LIMIT 50")
@@ -141,12 +150,13 @@ def j17(spark, d):
     return groups.join(read(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey")
 
 
-@query("J18_related", "SELECT * FROM (SELECT b.p_partkey, concat_ws('; ', CASE WHEN b.p_brand = a.p_brand THEN 'brand' END, CASE WHEN b.p_type = a.p_type THEN 'type' END, CASE WHEN b.p_size = a.p_size THEN 'size' END) AS reason FROM part a JOIN part b ON a.p_partkey = 10 AND b.p_partkey <> 10) WHERE reason <> '' ORDER BY length(reason) DESC, p_partkey LIMIT 30")
+@query("J18_related", "SELECT * FROM (SELECT b.p_partkey, concat_ws('; ', CASE WHEN b.p_brand = a.p_brand THEN 'brand' END, CASE WHEN b.p_type = a.p_type THEN 'type' END, CASE WHEN b.p_size = a.p_size THEN 'size' END, CASE WHEN split_part(b.p_name, ' ', 1) = split_part(a.p_name, ' ', 1) THEN 'name' END, CASE WHEN abs(b.p_retailprice - a.p_retailprice) <= 5 THEN 'price' END) AS reason FROM part a JOIN part b ON a.p_partkey = 10 AND b.p_partkey <> 10) WHERE reason <> '' ORDER BY length(reason) DESC, p_partkey LIMIT 30")
 def j18(spark, d):
-    parts = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size")
-    one = F.broadcast(parts.where("p_partkey = 10").toDF("k", "brand", "type", "size"))  # one key
-    reason = F.concat_ws("; ", F.when(F.col("p_brand") == F.col("brand"), "brand"), F.when(F.col("p_type") == F.col("type"), "type"), F.when(F.col("p_size") == F.col("size"), "size"))
-    found = parts.join(one, F.col("p_partkey") != F.col("k")).select("p_partkey", reason.alias("reason"))
+    parts = read(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size", "p_name", "p_retailprice")
+    one = F.broadcast(parts.where("p_partkey = 10").toDF("k", "brand", "type", "size", "name", "price"))  # one key
+    word = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    tests = {"brand": F.col("p_brand") == F.col("brand"), "type": F.col("p_type") == F.col("type"), "size": F.col("p_size") == F.col("size"), "name": word("p_name") == word("name"), "price": F.abs(F.col("p_retailprice") - F.col("price")) <= 5}
+    found = parts.join(one, F.col("p_partkey") != F.col("k")).select("p_partkey", F.concat_ws("; ", *(F.when(t, F.lit(n)) for n, t in tests.items())).alias("reason"))
     return found.where("reason <> ''").orderBy(F.desc(F.length("reason")), "p_partkey").limit(30)
 
 

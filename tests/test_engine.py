@@ -65,7 +65,7 @@ def test_greedy(spark):
     spans = spark.createDataFrame([(1, 0, 10, 5.0), (1, 4, 12, 4.0), (1, 8, 30, 3.0)], "k int, begin long, end long, score double")
     assert sorted((r.begin, r.end) for r in greedy.suppress_overlaps(spans, "k").collect()) == [(0, 10), (8, 30)]
     new = spark.createDataFrame([(1, 0, 10, 1), (1, 3, 5, 2), (1, 9, 12, 3)], "k int, begin long, end long, seq long")
-    assert sorted(tuple(r)[1:] for r in greedy.newest_wins(new, "k").collect()) == [(0, 3, 1), (3, 5, 2), (5, 9, 1), (9, 12, 3)]
+    assert sorted(tuple(r)[1:] for r in sequences.newest_wins(new, "k").collect()) == [(0, 3, 1), (3, 5, 2), (5, 9, 1), (9, 12, 3)]
     sets = spark.createDataFrame([(1, "a", [1, 2, 3]), (1, "b", [2, 3]), (1, "c", [9])], "k int, n string, s array<int>")
     assert sorted((r.n, r.seed) for r in greedy.seed_clusters(sets, "k", "n", "s").collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
 
