@@ -527,9 +527,9 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
 def without_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the one with the smallest id. Rows with a null id stay."""
     found = near_copies(docs, similarity=similarity, shingle=shingle, id_col=id_col, text_col=text_col)
-    gone = cut_lineage(found.where("doc_id <> group_id").select(F.col("doc_id").alias("__gone")))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = docs.groupBy(id_col).count().where(F.col("count") > 1).where(F.col(id_col).isNotNull())
+    gone = cut_lineage(found.where("doc_id <> group_id").select(F.col("doc_id").alias(id_col)).distinct())
+    kept = docs.join(gone, id_col, "left_anti")
+    twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col(id_col).isNotNull())
     if twice.isEmpty():
         return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
