@@ -480,6 +480,61 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert kept[4].agg(F.sum("length")).first()[0] > 1000
 
 
+@pytest.mark.parametrize("rows", [[], [(None, "The same text stands here. " * 30, "en", "s", 1), (None, None, None, None, None), (7, "", "en", None, 0), (7, "Seven words stand in this short text", "en", "s", 3), (7, "Seven words stand in this short text", "en", "s", 3), (8, "x" * 100_000, "en", "s", 9)]])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __gone long, group_id long, digest string, code long, id long"
+    docs = spark.createDataFrame([(*r, 1, 2, "d", 3, 4) for r in rows], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        path = str(tmp_path / str(k))
+        out.write.parquet(path)
+        assert k == 4 or out.columns == docs.columns
+        docs = spark.read.parquet(path)
+        if k == 1 and rows:
+            assert sorted((r.doc_id for r in docs.collect()), key=repr) == sorted({r.doc_id if r.doc_id is not None else None for r in docs.collect()}, key=repr)
+    assert rows or docs.count() == 0
+
+
+def test_pseudonyms_of_whole_documents(spark):
+    """Every kind of value that the documents hold, found by plain patterns of its own."""
+    import re
+
+    from tessera.llm.queries import PII_KEY, op5_pseudonyms
+
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+    patterns = {
+        "email": r"[a-z.0-9%+-]+(?=@mail\d+\.example\.com)",
+        "secret": r"\b[0-9a-f]{40}\b|\b[0-9A-F]{40}\b",
+        "phone": r"\+1 \(\d{3}\) 555-\d{4}",
+        "card": r"\b\d{16}\b",
+        "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]\d)",
+    }
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    stand_ins, found = {}, 0
+    for r in op5_pseudonyms(spark, folder).collect():
+        old, spans = texts[r.doc_id], sorted(r.private, key=lambda s: s.start)
+        want = sorted((m.start(), kind, m[0]) for kind, p in patterns.items() for m in re.finditer(p, old or "", re.I if kind == "email" else 0) if kind != "card" or luhn(m[0]) and m[0][0] in "23456")
+        mine, shift, at, rebuilt = [], 0, 0, []
+        for s in spans:
+            size = s.end - s.start
+            begin = s.start - shift
+            value = next(v for b, k, v in want if b == begin and k == s.kind)
+            shift += size - len(value)
+            new = r.text[s.start : s.end]
+            rebuilt += [r.text[at : s.start], value]
+            at = s.end
+            mine.append((begin, s.kind, value))
+            key = (s.kind, re.sub(r"\W", "", value).lower() if s.kind != "ip" else value)
+            plain = re.sub(r"\W", "", new).lower() if s.kind != "ip" else new
+            assert stand_ins.setdefault(key, plain) == plain and plain != key[1]
+        assert mine == want and "".join([*rebuilt, (r.text or "")[at:]]) == (old or "")
+        found += len(mine)
+    assert found > 50 and len(set(stand_ins.values())) == len(stand_ins) and PII_KEY
+
+
 def test_crc_of_pieces(spark):
     out = packing.pack(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), tokenizer_path()).select("ids_le", F.crc32("ids_le").alias("c")).first()
     assert out.c == zlib.crc32(bytes(out.ids_le)) and isinstance(pd.DataFrame(), pd.DataFrame)
