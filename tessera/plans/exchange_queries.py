@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import codec
-from ..operators import edits, packs, sinks, twins
-from ..sources import definitions, logs, sidecars
+from ..functions import addresses
+from ..operators import edits, packs, properties, sinks, twins
+from ..sources import dimensions, logs, sidecars
 from ..sources import images as image_files
-from .carriers import CELLS, RAW, cells, raw_cells, read
+from .carriers import RAW, raw_cells, read
 from .image_queries import named
 from .registry import query
 
@@ -161,3 +161,54 @@ def s12(spark, d):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", section.alias("s")))), lambda s: s["s"]), "\n\n")
     files = read(spark, d, "part").groupBy(F.col("p_brand").alias("file_id")).agg(F.concat(F.lit("2 DTC entries\n\n"), text).alias("text"))
     return sidecars.trouble_codes(files)
+
+
+ADDRESSES = "a AS (SELECT p_partkey, p_partkey * 97 % 3000 AS b, p_partkey * 97 % 3000 + p_size * 8 - 16 AS e, CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 4294967295 ELSE 2500 END AS l, CASE p_partkey % 3 WHEN 0 THEN 0 ELSE 1000 END AS base, CASE p_partkey % 5 WHEN 0 THEN 0 ELSE 2048 END AS rom FROM part)"
+
+
+@query(
+    "P11_pack_addresses",
+    f"""WITH {ADDRESSES} SELECT p_partkey,
+        CASE WHEN b < 128 OR e <= b OR l IN (0, 4294967295) THEN NULL WHEN rom > 0 THEN CASE WHEN e <= rom THEN b WHEN base <> 0 AND b >= base AND e <= base + rom THEN b - base END WHEN e <= l THEN b END AS map_at,
+        CASE WHEN b = 0 THEN NULL WHEN rom = 0 THEN CASE WHEN base <> 0 AND b >= base THEN b - base ELSE b END WHEN b + 32 <= rom THEN b WHEN base <> 0 AND b >= base AND b + 32 <= base + rom THEN b - base END AS axis_at FROM a""",
+)
+def p11(spark, d):
+    k, z = F.col("p_partkey"), F.lit(0).cast("long")
+    begin = k * 97 % 3000
+    end = begin + F.col("p_size") * 8 - 16
+    limit = F.when(k % 4 == 0, z).when(k % 4 == 1, F.lit(4294967295)).otherwise(2500)
+    base, rom = F.when(k % 3 == 0, z).otherwise(1000), F.when(k % 5 == 0, z).otherwise(2048)
+    return read(spark, d, "part").select("p_partkey", addresses.map_offset(begin, end, limit, base, rom).alias("map_at"), addresses.axis_offset(begin, F.lit(16), F.lit(2), base, rom).alias("axis_at"))
+
+
+@query("P16_property_by_id", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment WHEN 2 THEN CAST(c_nationkey AS VARCHAR) WHEN 3 THEN md5(c_name) END AS property FROM customer")
+def p16(spark, d):
+    fields = {0: F.col("c_name"), 1: F.col("c_mktsegment"), 2: F.col("c_nationkey"), 3: F.md5(F.col("c_name").cast("binary"))}
+    return read(spark, d, "customer").select("c_custkey", properties.property_of(fields, F.col("c_custkey") % 5).alias("property"))
+
+
+@query(
+    "P17_set_properties",
+    """WITH x AS (SELECT o_custkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'segment' WHEN 1 THEN 'nation' WHEN 2 THEN 'name' ELSE 'colour' END AS property, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 'many' ELSE CAST(o_orderkey % 90 AS VARCHAR) END AS value, o_orderkey AS seq FROM orders),
+    l AS (SELECT id, arg_max({'v': value}, seq) FILTER (property = 'segment') AS s, arg_max({'v': value}, seq) FILTER (property = 'nation') AS n FROM x GROUP BY id)
+    SELECT c_custkey, c_name, CASE WHEN s IS NULL THEN c_mktsegment ELSE s.v END AS c_mktsegment, CASE WHEN n IS NULL OR (n.v IS NOT NULL AND TRY_CAST(n.v AS INTEGER) IS NULL) THEN c_nationkey ELSE TRY_CAST(n.v AS INTEGER) END AS c_nationkey FROM customer LEFT JOIN l ON id = c_custkey""",
+)
+def p17(spark, d):
+    k = F.col("o_orderkey")
+    name = F.when(k % 4 == 0, "segment").when(k % 4 == 1, "nation").when(k % 4 == 2, "name").otherwise("colour")
+    value = F.when(k % 7 == 0, F.lit(None)).when((k % 4 == 1) & (k % 3 == 0), "many").otherwise((k % 90).cast("string"))
+    changes = read(spark, d, "orders").select(F.col("o_custkey").alias("id"), name.alias("property"), value.alias("value"), k.alias("seq"))
+    customers = read(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return properties.set_properties(customers, "c_custkey", changes, {"segment": "c_mktsegment", "nation": "c_nationkey", "name": "c_name"}, read_only=("name",))
+
+
+@query("S19_project_registry", "WITH b AS (SELECT o_custkey AS path, o_orderpriority AS name, o_orderdate AS opened FROM orders) SELECT path, arg_max(name, (opened, name)) AS name, max(opened) AS opened FROM b GROUP BY path ORDER BY opened DESC, path")
+def s19(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").alias("opened"), "o_orderstatus")
+    return properties.upsert_projects(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F' or o_orderstatus is null"))
+
+
+@query("S20_dimension_json", "SELECT r_name AS make, n_nationkey AS key, n_name AS model FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s20(spark, d):
+    nested = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("model")))).alias("models"))
+    return dimensions.makes(nested.select(F.to_json(F.struct(F.col("r_name").alias("make"), "models")).alias("json")))

@@ -258,9 +258,3 @@ def o6(spark, d):
 def o5(spark, d):
     s = cells(spark, d).groupBy("array_id").agg(F.stddev_pop("value").alias("score"))
     return s.orderBy(F.desc("score"), "array_id").limit(500).withColumn("score", F.round("score", 6))
-
-
-@query("P16_property_by_id", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE CAST(c_nationkey AS VARCHAR) END AS property FROM customer")
-def p16(spark, d):
-    fields = F.create_map(F.lit(0), F.col("c_name"), F.lit(1), F.col("c_mktsegment"), F.lit(2), F.col("c_nationkey").cast("string"))
-    return read(spark, d, "customer").select("c_custkey", F.element_at(fields, (F.col("c_custkey") % 3).cast("int")).alias("property"))
