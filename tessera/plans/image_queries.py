@@ -212,25 +212,6 @@ def e10(spark, d):
     return raw_cells(spark, d).select("array_id", "pos", F.shiftleft(raw.bitwiseAND(low), 8).bitwiseOR(F.shiftright(raw, 8).bitwiseAND(low)).alias("swapped"))
 
 
-@query("E11_aligned_copy", f"WITH {RAW} SELECT c.array_id, c.pos, CASE WHEN b.raw <> c.raw AND c.row BETWEEN 2 AND 5 THEN b.raw ELSE c.raw END AS raw FROM raw_cells c LEFT JOIN raw_cells b ON b.array_id = c.array_id + 1 AND b.row = c.row + 1 AND b.col = c.col")
-def e11(spark, d):
-    new = raw_cells(spark, d).select((F.col("array_id") - 1).alias("array_id"), (F.col("row") - 1).alias("row"), "col", F.col("raw").alias("new"))
-    return raw_cells(spark, d).join(new, ["array_id", "row", "col"], "left").select("array_id", "pos", F.when((F.col("new") != F.col("raw")) & F.col("row").between(2, 5), F.col("new")).otherwise(F.col("raw")).alias("raw"))
-
-
-@query("M5_region_match", f"WITH {PAIR} SELECT array_id, row, round(100 * avg(CAST(round(value * 10) = round(other * 10) AS DOUBLE)), 6) AS percent FROM pair GROUP BY array_id, row")
-def m5(spark, d):
-    tenth = lambda c: F.round(F.col(c) * 10)
-    both = arrays.compare(cells(spark, d), next_cells(spark, d))
-    return both.groupBy("array_id", "row").agg(F.round(100 * F.avg((tenth("value") == tenth("other")).cast("double")), 6).alias("percent"))
-
-
-@query("M18_aligned_diff", f"WITH {PAIR} SELECT array_id, row, col, CASE WHEN delta > 0 THEN 'up' ELSE 'down' END AS sign FROM pair WHERE abs(delta) > 0.2")
-def m18(spark, d):
-    both = arrays.compare(cells(spark, d), next_cells(spark, d))
-    return both.where(F.abs("delta") > 0.2).select("array_id", "row", "col", F.when(F.col("delta") > 0, "up").otherwise("down").alias("sign"))
-
-
 @query("M14_harvest", f"WITH {PAIR}, n AS (SELECT array_id, count(*) FILTER (abs(delta) > 0.3) AS voices FROM pair GROUP BY array_id) SELECT array_id, voices FROM n WHERE voices > 0")
 def m14(spark, d):
     both = arrays.compare(cells(spark, d), next_cells(spark, d))

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from . import array_queries, detection_queries, edit_queries, exchange_queries, image_queries, sequence_queries, table_queries  # noqa: E402,F401
+from . import alignment_queries, array_queries, detection_queries, edit_queries, exchange_queries, image_queries, sequence_queries, table_queries  # noqa: E402,F401
