@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,50 @@ def map_json(maps: DataFrame, cells: DataFrame) -> DataFrame:
     axis = lambda a: F.struct(F.col(f"{a}_name").alias("name"), F.col(f"{a}_unit").alias("unit")).alias(f"{a}Axis")
     body = F.struct("name", F.col("kind").alias("type"), address.alias("address"), F.col("address").alias("addressDec"), (F.col("cols") * F.col("rows") * F.col("width")).alias("length"), "cols", "rows", F.col("width").alias("dataSize"), "signed", axis("x"), axis("y"), "cells", F.col("low").alias("min"), F.col("high").alias("max"), "mean", F.col("modified").alias("modifiedCells"))
     return maps.join(values, "array_id", "left").select("array_id", F.to_json(body).alias("json"))
+
+
+def escaped(text) -> Column:
+    """Text for XML and HTML: the five special characters as references, nulls as nothing."""
+    out = F.coalesce(text, F.lit(""))
+    for c, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "#39")):
+        out = F.replace(out, F.lit(c), F.lit(f"&{name};"))
+    return out
+
+
+def xdf_text(maps: DataFrame) -> DataFrame:
+    """``file_id, text``: XDF files of maps (file_id, name, address, cols, rows, width, signed, a, b, unit, folder), their tables by address and name.
+
+    A map of one cell is a constant. Folders become categories, numbered by name; a file is one row.
+    """
+    order = F.dense_rank().over(Window.partitionBy("file_id").orderBy(F.coalesce("folder", F.lit(""))))
+    m = maps.withColumn("category", order - 1)
+    number = lambda c: F.concat(F.lit("0x"), F.hex(c))
+    tag = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+    flags = F.when(F.col("signed"), "0x01").otherwise("0x00")
+    data = F.concat(F.lit("<EMBEDDEDDATA"), tag("mmedtypeflags", flags), tag("mmedaddress", number("address")), tag("mmedelementsizebits", (F.col("width") * 8).cast("string")), tag("mmedrowcount", F.col("rows").cast("string")), tag("mmedcolcount", F.col("cols").cast("string")), F.lit("/>"))
+    equation = F.concat(F.lit('<MATH equation="X*'), F.col("a").cast("double").cast("string"), F.when(F.col("b") < 0, "").otherwise("+"), F.col("b").cast("double").cast("string"), F.lit('"/>'))
+    title = F.concat(F.lit("<title>"), escaped(F.col("name")), F.lit('</title><CATEGORYMEM index="0" category="'), (F.col("category") + 1).cast("string"), F.lit('"/>'))
+    unit = F.concat(F.lit("<units>"), escaped(F.col("unit")), F.lit("</units>"))
+    table = F.concat(F.lit("<XDFTABLE>"), title, F.lit('<XDFAXIS id="z">'), unit, data, equation, F.lit("</XDFAXIS></XDFTABLE>"))
+    constant = F.concat(F.lit("<XDFCONSTANT>"), title, unit, data, equation, F.lit("</XDFCONSTANT>"))
+    body = F.when((F.col("cols") > 1) | (F.col("rows") > 1), table).otherwise(constant)
+    named = F.struct("category", F.concat(F.lit("<CATEGORY"), tag("index", number("category")), tag("name", escaped(F.col("folder"))), F.lit("/>")).alias("xml"))
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda s: s["xml"]), "\n")
+    files = m.groupBy("file_id").agg(joined(F.collect_set(named)).alias("categories"), joined(F.collect_list(F.struct("address", "name", body.alias("xml")))).alias("objects"))
+    head = F.lit('<XDFFORMAT version="1.60"><XDFHEADER><BASEOFFSET offset="0" subtract="0"/><DEFAULTS datasizeinbits="8" lsbfirst="1" signed="0" float="0"/>\n')
+    return files.select("file_id", F.concat(head, "categories", F.lit("\n</XDFHEADER>\n"), "objects", F.lit("\n</XDFFORMAT>\n")).alias("text"))
+
+
+def change_report(summary: DataFrame, title: str) -> DataFrame:
+    """``report_id, html``: a page a report of changed maps (report_id, name, address, changed, cells, least, most), the most changed first.
+
+    Maps without changes are left out; a report of none says so. A report is one row.
+    """
+    number = lambda c: F.format_string("%.3f", F.round(F.col(c).cast("double"), 3))
+    cell = lambda value: F.concat(F.lit("<td>"), value, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(escaped(F.col("name"))), cell(F.concat(F.lit("0x"), F.hex("address"))), cell(F.concat(F.col("changed").cast("string"), F.lit(" / "), F.col("cells").cast("string"))), cell(number("least")), cell(number("most")), F.lit("</tr>"))
+    held = F.when(F.col("changed") > 0, F.struct((-F.col("changed")).alias("n"), "address", "name", row.alias("html")))
+    reports = summary.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.array_compact(F.collect_list(held))), lambda s: s["html"]), "").alias("rows"), F.count_if(F.col("changed") > 0).alias("maps"))
+    head = escaped(F.lit(title))
+    body = F.when(F.col("maps") == 0, "<p>No map has changed.</p>").otherwise(F.concat(F.lit("<table><tr><th>Map</th><th>Address</th><th>Changed</th><th>Least</th><th>Most</th></tr>"), "rows", F.lit("</table>")))
+    return reports.select("report_id", F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), head, F.lit("</title></head><body><h1>"), head, F.lit("</h1>"), body, F.lit("</body></html>")).alias("html"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses
 from ..operators import edits, packs, properties, sinks, twins
-from ..sources import dimensions, logs, sidecars
+from ..sources import definitions, dimensions, logs, sidecars
 from ..sources import images as image_files
 from .carriers import RAW, raw_cells, read
 from .image_queries import named
@@ -212,3 +212,27 @@ def s19(spark, d):
 def s20(spark, d):
     nested = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("model")))).alias("models"))
     return dimensions.makes(nested.select(F.to_json(F.struct(F.col("r_name").alias("make"), "models")).alias("json")))
+
+
+@query("K5_xdf_round_trip", "SELECT vec_id // 50 AS file_id, 'map <' || vec_id || '> & \"co\"' AS name, CASE WHEN vec_id % 4 = 0 THEN 'VALUE' WHEN vec_id % 4 = 1 THEN 'CURVE' ELSE 'MAP' END AS type, vec_id * 128 AS address, CAST(CASE vec_id % 4 WHEN 0 THEN 1 ELSE 8 END AS INTEGER) AS columns, CAST(CASE vec_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 8 END AS INTEGER) AS rows, 0.5::DOUBLE AS a, -(vec_id % 3)::DOUBLE + 1 AS b, 'group ' || label AS folder FROM embeddings")
+def k5(spark, d):
+    k = F.col("vec_id")
+    rest = k % 4
+    rows = read(spark, d, "embeddings", "vec_id", "label").select(F.floor(k / 50).cast("long").alias("file_id"), F.concat(F.lit("map <"), k.cast("string"), F.lit('> & "co"')).alias("name"), (k * 128).alias("address"), F.when(rest == 0, 1).otherwise(8).alias("cols"), F.when(rest <= 1, 1).otherwise(8).alias("rows"), F.lit(2).alias("width"), F.lit(False).alias("signed"), F.lit(0.5).alias("a"), (1.0 - k % 3).alias("b"), F.lit("%").alias("unit"), F.concat(F.lit("group "), F.col("label").cast("string")).alias("folder"))
+    back = definitions.xdf_maps(sinks.xdf_text(rows))
+    return back.select("file_id", "name", "type", F.col("address").cast("long").alias("address"), "columns", "rows", "a", "b", "folder")
+
+
+@query(
+    "K6_change_report",
+    f"""WITH {RAW}, p AS (SELECT a.array_id, a.folder, count(*) FILTER (a.raw <> b.raw) AS changed, count(*) AS cells, min(b.raw - a.raw) AS least, max(b.raw - a.raw) AS most FROM raw_cells a JOIN raw_cells b ON b.array_id = a.array_id + 1 AND a.pos = b.pos GROUP BY ALL),
+    r AS (SELECT array_id // 20 AS report_id, string_agg('<tr><td>map ' || array_id || ' &amp; more</td><td>0x' || printf('%X', array_id * 128) || '</td><td>' || changed || ' / ' || cells || '</td><td>' || least || '.000</td><td>' || most || '.000</td></tr>', '' ORDER BY changed DESC, array_id) AS rows FROM p WHERE changed > 0 GROUP BY 1)
+    SELECT report_id, '<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Changes</title></head><body><h1>Changes</h1><table><tr><th>Map</th><th>Address</th><th>Changed</th><th>Least</th><th>Most</th></tr>' || rows || '</table></body></html>' AS html FROM r""",
+)
+def k6(spark, d):
+    now = raw_cells(spark, d)
+    new = now.select((F.col("array_id") - 1).alias("array_id"), "pos", F.col("raw").alias("new"))
+    delta = F.col("new") - F.col("raw")
+    summary = now.join(new, ["array_id", "pos"]).groupBy("array_id").agg(F.count_if(delta != 0).alias("changed"), F.count("*").alias("cells"), F.min(delta).alias("least"), F.max(delta).alias("most"))
+    named_maps = summary.select(F.floor(F.col("array_id") / 20).cast("long").alias("report_id"), F.concat(F.lit("map "), F.col("array_id").cast("string"), F.lit(" & more")).alias("name"), (F.col("array_id") * 128).alias("address"), "changed", "cells", "least", "most")
+    return sinks.change_report(named_maps, "Changes")
