@@ -148,3 +148,10 @@ def tree_filter(nodes: DataFrame, text: str, condition: Column | None = None) ->
     parts = F.split("path", "/")
     shown = hits.select(parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k"))
     return shown.groupBy(F.array_join(F.slice("parts", 1, F.col("k")), "/").alias("path")).agg(F.bool_or(F.col("k") == F.size("parts")).alias("hit"))
+
+
+def dominant(votes: DataFrame, key: str, vote: str, least: float = 0.9) -> DataFrame:
+    """``key, vote, share`` where at least ``least`` of a key's votes agree; a null vote is a vote of its own. Votes are counted before they meet by key."""
+    counted = votes.groupBy(key, vote).agg(F.count("*").alias("n"))
+    best = counted.groupBy(key).agg(F.max_by(F.struct(vote), "n").alias("best"), (F.max("n") / F.sum("n")).alias("share"))
+    return best.where(F.col("share") >= least).select(key, F.col(f"best.{vote}").alias(vote), "share")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import search
+from ..sources import catalog
 from .carriers import read
 from .registry import query
 
@@ -172,10 +173,9 @@ def j20(spark, d):
     return read(spark, d, "events", "event_id", "event_type").join(best, "event_type", "left").select("event_id", "family")
 
 
-@query("A17_dominant_base", "WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY c_nationkey) AS share FROM s) SELECT c_nationkey, c_mktsegment, round(share, 6) AS share FROM t WHERE share >= 0.25")
+@query("A17_dominant_base", "WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY l_orderkey) AS share FROM v) SELECT l_orderkey, l_returnflag, round(share, 6) AS share FROM t WHERE share >= 0.9")
 def a17(spark, d):
-    s = read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    return s.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("c_nationkey"))).where("share >= 0.25").select("c_nationkey", "c_mktsegment", F.round("share", 6).alias("share"))
+    return search.dominant(read(spark, d, "lineitem", "l_orderkey", "l_returnflag"), "l_orderkey", "l_returnflag").withColumn("share", F.round("share", 6))
 
 
 @query("A18_digests", "SELECT p_partkey, md5(p_name) AS md5, sha1(p_name) AS sha1, sha256(p_name) AS sha256, CAST(list_sum(list_transform(range(1, length(p_name) + 1), lambda i: ord(p_name[i]))) % 65536 AS BIGINT) AS total FROM part")
@@ -272,21 +272,40 @@ def m13(spark, d):
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "sigma", "strength")})
 
 
-@query("S13_catalog_projection", "SELECT s_suppkey, s_name, to_timestamp(CASE WHEN s_acctbal > 0 THEN CAST(round(s_acctbal) AS BIGINT) * 200000 END)::TIMESTAMP AS seen FROM supplier")
+CATALOG = {"id": ["entry", "S_SUPPKEY"], "label": ["s_name", "title"], "place": ["town", "city"], "worth": ["s_acctbal"]}
+
+
+@query("S13_catalog_projection", "SELECT s_suppkey AS id, s_name AS label, CAST(NULL AS VARCHAR) AS place, s_acctbal AS worth FROM supplier WHERE s_suppkey BETWEEN 5 AND 60")
 def s13(spark, d):
-    seconds = F.when(F.col("s_acctbal") > 0, F.round("s_acctbal").cast("long") * 200000)
-    return read(spark, d, "supplier").select("s_suppkey", "s_name", F.timestamp_seconds(seconds).cast("timestamp_ntz").alias("seen"))
+    supplier = read(spark, d, "supplier")
+    if not catalog.is_catalog(supplier, CATALOG, ("id", "label")):
+        raise ValueError("not a catalog")
+    return catalog.project(supplier, CATALOG, 5, 60, "id")
+
+
+@query("S13_catalog_point", "SELECT s_suppkey AS id, s_name AS label, CAST(NULL AS VARCHAR) AS place, s_acctbal AS worth FROM supplier WHERE s_suppkey = 17")
+def s13_point(spark, d):
+    return catalog.project(read(spark, d, "supplier"), CATALOG, 17, 17, "id")
 
 
-@query("S14_incremental_sync", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders k WHERE k.o_orderkey = o.o_orderkey AND k.o_totalprice = o.o_totalprice AND k.o_orderstatus = 'F')")
+@query(
+    "S14_incremental_sync",
+    """WITH l AS (SELECT c_custkey AS source, c_custkey % 3 = 0 AS same, c_custkey % 5 <> 0 AS readable, c_custkey % 7 <> 0 AS listed FROM customer),
+    e AS (SELECT o_custkey AS source, o_orderkey AS entry, o_orderstatus = 'F' AS old FROM orders)
+    SELECT e.source, entry, old FROM e LEFT JOIN l USING (source) WHERE old = NOT coalesce(listed AND readable AND NOT same, false)""",
+)
 def s14(spark, d):
-    known = read(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus").where("o_orderstatus = 'F'").drop("o_orderstatus")
-    return read(spark, d, "orders", "o_orderkey", "o_totalprice").join(known, ["o_orderkey", "o_totalprice"], "left_anti").select("o_orderkey")
+    key = F.col("c_custkey")
+    sources = read(spark, d, "customer", "c_custkey").select(key.alias("source"), (key * 10).alias("mtime"), F.lit(7).cast("long").alias("size"))
+    listed = sources.where(F.col("source") % 7 != 0).select("source", F.when(F.col("source") % 3 == 0, F.col("mtime")).otherwise(F.col("mtime") + 1).alias("mtime"), "size", (F.col("source") % 5 != 0).alias("readable"))
+    orders = read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("entry"), (F.col("o_orderstatus") == "F").alias("old"))
+    return catalog.synchronised(orders.where("old"), sources, listed, orders.where("not old"))
 
 
-@query("O10_verdict_order", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 100")
+@query("O10_verdict_order", "SELECT l_partkey, round(avg(CAST(l_returnflag = 'R' AS DOUBLE)), 6) AS strength, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY avg(CAST(l_returnflag = 'R' AS DOUBLE)) DESC, n DESC, l_partkey LIMIT 100")
 def o10(spark, d):
-    return read(spark, d, "lineitem", "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(100)
+    verdicts = read(spark, d, "lineitem", "l_partkey", "l_returnflag").groupBy("l_partkey").agg(F.avg((F.col("l_returnflag") == "R").cast("double")).alias("strength"), F.count("*").alias("n"))
+    return verdicts.orderBy(F.desc("strength"), F.desc("n"), "l_partkey").limit(100).withColumn("strength", F.round("strength", 6))
 
 
 @query("O12_shown_and_total", "WITH d AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.05), t AS (SELECT count(*) AS total FROM d) SELECT l_orderkey, l_linenumber, total FROM d, t ORDER BY l_orderkey, l_linenumber LIMIT 500")
