@@ -8,14 +8,20 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Rows that a Python worker gets at once where the session has Spark's own number; whole texts make rows large.
+ROWS_A_BATCH, SPARKS_OWN = "2000", "10000"
+
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that their Python workers can import it.
 
-    The driver serves the archive from a folder that it removes when it ends.
+    The driver serves the archive from a folder that it removes when it ends. Batches of
+    rows for Python are made smaller, unless the session has a number of its own.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_OWN:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
