@@ -79,7 +79,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-įĲ-ňŊ-ž]*")
     WORDS = re.compile(r"[a-zß-öø-ÿā-ž]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ÿā-ž0-9\s]+")
 
-    def __init__(self, path: str, max_words: int = 500_000) -> None:
+    def __init__(self, path: str, max_words: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
