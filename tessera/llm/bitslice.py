@@ -36,7 +36,7 @@ from .blocks import matrix, meet
 from .common import cut_lineage
 
 #: Rows of a block at most, and at least where there are more tasks than blocks.
-BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 12
+BLOCK_ROWS, LEAST_ROWS = 1 << 16, 1 << 14
 LARGEST = float(1 << 24)
 HITS = "query_id long, vec_id long, score long"
 
