@@ -157,7 +157,8 @@ def s11(spark, d):
     "SELECT p_brand AS file_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS no, printf('%05X', p_partkey) AS code, p_name AS description, 'P' || (p_size + 1000) AS obd_code, p_type AS label, lpad(bin(p_size), 8, '0') AS bits, ['stored', 'size ' || p_size] AS flags FROM part",
 )
 def s12(spark, d):
-    section = F.concat(F.lpad(F.hex("p_partkey"), 5, "0"), F.lit("  "), "p_name", F.lit("\n  P"), (F.col("p_size") + 1000).cast("string"), F.lit("  "), "p_type", F.lit("\n"), F.lpad(F.bin("p_size"), 8, "0"), F.lit("  stored\nsize "), F.col("p_size").cast("string"))
+    code = F.format_string("%05X", "p_partkey")  # five digits at least; lpad would cut a longer number
+    section = F.concat(code, F.lit("  "), "p_name", F.lit("\n  P"), (F.col("p_size") + 1000).cast("string"), F.lit("  "), "p_type", F.lit("\n"), F.lpad(F.bin("p_size"), 8, "0"), F.lit("  stored\nsize "), F.col("p_size").cast("string"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", section.alias("s")))), lambda s: s["s"]), "\n\n")
     files = read(spark, d, "part").groupBy(F.col("p_brand").alias("file_id")).agg(F.concat(F.lit("2 DTC entries\n\n"), text).alias("text"))
     return sidecars.trouble_codes(files)

@@ -22,3 +22,9 @@ def test_peak_of_several_channels(spark, tmp_path):
     values = "(3, 30, 1, 'late', 9.0), (2, 20, 1, 'second', 9.0), (1, 20, 1, 'first', 9.0), (0, 10, 1, 'low', 1.0), (4, 0, 2, 'none', NULL), (5, 1, 3, NULL, 5.0), (6, 2, 3, 'named', 5.0)"
     rows = compared(spark, tmp_path, "A15_pull_statistics", "events", f"SELECT id::BIGINT AS event_id, make_timestamp(s * 1000000) AS ts, u::BIGINT AS user_id, c AS event_type, v::DOUBLE AS value FROM (VALUES {values}) t(id, s, u, c, v)")
     assert {r.log_id: r.channel_at_peak for r in rows} == {1: "first", 2: None, 3: "named"}
+
+
+def test_long_codes(spark, tmp_path):
+    """A number of more than five hexadecimal digits keeps them all."""
+    rows = compared(spark, tmp_path, "S12_trouble_codes", "part", "SELECT k::BIGINT AS p_partkey, 'red ring' AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, 7 AS p_size FROM (VALUES (7), (1048575), (1048576), (4294967296)) t(k)")
+    assert {r.code for r in rows} == {"00007", "FFFFF", "100000", "100000000"}
