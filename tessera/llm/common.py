@@ -27,3 +27,12 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared checkpoint folder and go on from there, so that a lost executor costs no rerun."""
     use_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def shuffled(frame: DataFrame) -> DataFrame:
+    """``frame`` as a side of a join that is by sort and merge, whatever Spark thinks of its size.
+
+    Spark broadcasts a side by an estimate that takes no account of the rows that
+    ``explode`` or a Python function adds, and the driver holds what is broadcast.
+    """
+    return frame.hint("merge")

@@ -8,8 +8,8 @@ of the graph, so a chain of a million links takes about as many rounds as a star
 Before a round, tasks of at most ``HELD`` edges each replace them by a spanning forest
 of stars; that shortens long chains without a shuffle, and a graph that fits one task
 is done. The pointers of the rounds are composed from the last to the first. Minima are
-combined before the shuffle and the rewriting is by plain joins, which adaptive
-execution splits where one node has a large share of all edges.
+combined before the shuffle and the rewriting is by sorted joins, which adaptive
+execution splits where one node has a large share of all edges; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import cut_lineage
+from .common import cut_lineage, shuffled
 
 
 #: Edges that a task holds at once.
@@ -87,13 +87,13 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         rounds.append(pointers)
         of_u = pointers.select(F.col("node").alias("u"), F.col("root").alias("new_u"))
         of_v = pointers.select(F.col("node").alias("v"), F.col("root").alias("new_v"))
-        moved = now.join(of_u, "u").join(of_v, "v")
+        moved = now.join(shuffled(of_u), "u").join(shuffled(of_v), "v")
         moved = moved.select(F.least("new_u", "new_v").alias("u"), F.greatest("new_u", "new_v").alias("v")).where("u <> v").distinct()
         now = cut_lineage(moved)
 
     def compose(later: DataFrame, earlier: DataFrame) -> DataFrame:
         onward = later.select(F.col("node").alias("__root"), F.col("root").alias("__onward"))
-        return earlier.join(onward, F.col("root") == F.col("__root"), "left").select("node", F.coalesce("__onward", "root").alias("root"))
+        return earlier.join(shuffled(onward), F.col("root") == F.col("__root"), "left").select("node", F.coalesce("__onward", "root").alias("root"))
 
     if not rounds:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import cut_lineage
+from .common import cut_lineage, shuffled
 from .graph import components
 
 SEED = 42
@@ -146,10 +146,10 @@ def links(prints: DataFrame) -> DataFrame:
     probing = distinct.select(F.col("fingerprint").alias("probe"), F.explode(F.concat(F.array(*own), *probes)).alias("at")).select("probe", "at.segment", "at.value")
     sizes = table.groupBy("segment", "value").agg(F.count("*").alias("size"), F.min("fingerprint").alias("least"))
     # values that nothing else probes drop out here; what is left are a few rows a group of near fingerprints
-    met = cut_lineage(probing.join(sizes, ["segment", "value"]).where("size > 1 or probe <> least"))
+    met = cut_lineage(probing.join(shuffled(sizes), ["segment", "value"]).where("size > 1 or probe <> least"))
     cold = met.where(F.col("size") <= HOT)
     single = cold.where("size = 1").select(F.col("probe").alias("u"), F.col("least").alias("v"))
-    several = cold.where("size > 1").join(table, ["segment", "value"]).select(F.col("probe").alias("u"), F.col("fingerprint").alias("v"))
+    several = cold.where("size > 1").join(shuffled(table), ["segment", "value"]).select(F.col("probe").alias("u"), F.col("fingerprint").alias("v"))
     verified = single.unionAll(several).where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE))
     rest = [F.col("probe").bitwiseAND(F.lit(mask)) for mask in reversed(masks)]
     same = F.col("probe").bitwiseAND(F.when(F.col("segment") == 0, F.lit(masks[0])).otherwise(F.lit(masks[1]))) == F.col("value")
@@ -166,11 +166,11 @@ def groups(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_co
     prints = cut_lineage(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
     roots = components(links(prints))
     first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = first.join(shuffled(roots.withColumnRenamed("node", "fingerprint")), "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = cut_lineage(rooted)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = rooted.join(shuffled(smallest), "root").select("fingerprint", "component_id")
+    return prints.join(shuffled(named), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
