@@ -63,7 +63,7 @@ GATHERED = 50_000
 #: Members of a bucket, and shingles of a cluster, that a task compares with one another; members compared with all others at once.
 BLOCK, BLOCK_SHINGLES, ROWS_AT_ONCE = 8192, 2_000_000, 256
 #: Ids up to this number (24 bytes each at most) are broadcast to pick their texts; beyond it the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 #: Shingles hashed at once; bounds a task's memory for very long texts.
 CHUNK = 1 << 16
 
@@ -445,7 +445,7 @@ def _similarity(shingle: int):
 def _in_block_pairs(members: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
     """``members`` with ``first, second, block``: a key's rows dealt to blocks of at most about ``most`` in all, each with each."""
     sizes = members.groupBy(key).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
-    dealt = members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(shuffled(sizes), key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("blocks", "other")
 
@@ -461,10 +461,10 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     own = F.struct("doc_id", "size", "left", "right")
     texts = cut_lineage(prints.groupBy("digest").agg(F.min(own).alias("own"), F.count("*").alias("copies")).select("digest", "copies", F.col("own.doc_id").alias("id"), "own.size", "own.left", "own.right"))
     shapes = texts.select("id", "size", "left", "right")
-    again = cut_lineage(prints.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").where("doc_id <> id").select("doc_id", "digest").distinct())
+    again = cut_lineage(prints.select("doc_id", "digest").join(shuffled(texts.select("digest", "id")), "digest").where("doc_id <> id").select("doc_id", "digest").distinct())
 
     def small(frame: DataFrame) -> DataFrame:
-        return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+        return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else shuffled(frame)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """``id, text`` of some ids; an id that has several texts has several rows."""
@@ -473,32 +473,32 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
     # pairs of equal or linked fingerprints
     first = cut_lineage(texts.groupBy(F.col("left").alias("fingerprint")).agg(F.min("id").alias("first")))
     of_u, of_v = (first.select(F.col("fingerprint").alias(c), F.col("first").alias(n)) for c, n in (("u", "id"), ("v", "partner")))
-    near = links(first).join(of_u, "u").join(of_v, "v").select("id", "partner")
-    equal = shapes.join(first, F.col("left") == F.col("fingerprint")).where("id <> first").select("id", F.col("first").alias("partner"))
+    near = links(first).join(shuffled(of_u), "u").join(shuffled(of_v), "v").select("id", "partner")
+    equal = shapes.join(shuffled(first), F.col("left") == F.col("fingerprint")).where("id <> first").select("id", F.col("first").alias("partner"))
 
     # each text's buckets that have other members, and its nearest of those that their buckets prefer
     once = prints.join(small(again), ["doc_id", "digest"], "left_anti").withColumnRenamed("doc_id", "id")
     entries = once.select(F.explode("codes").alias("code"), "id").repartition("code").sortWithinPartitions("code").mapInArrow(_meeting, "code long, id long, partner long")
     large = once.select(F.explode("often").alias("code"), "id")
     pivots = large.groupBy("code").agg(F.min("id").alias("partner"), F.max("id").alias("last")).where("partner <> last")
-    entries = cut_lineage(entries.unionAll(large.join(pivots, "code").select("code", "id", "partner")))
+    entries = cut_lineage(entries.unionAll(large.join(shuffled(pivots), "code").select("code", "id", "partner")))
     theirs = shapes.select(F.col("id").alias("partner"), F.col("size").alias("their_size"), F.col("left").alias("their_left"), F.col("right").alias("their_right"))
     apart = F.bit_count(F.col("left").bitwiseXOR(F.col("their_left"))) + F.bit_count(F.col("right").bitwiseXOR(F.col("their_right")))
     low, high = F.least("size", "their_size"), F.greatest("size", "their_size")
     may_match = ((low < FEW_SHINGLES) | (F.col("apart") <= far_bits(similarity))) & (low >= similarity * high - 1e-9)
-    stars = entries.where("id <> partner").select("id", "partner").distinct().join(shapes, "id").join(theirs, "partner").withColumn("apart", apart).where(may_match)
+    stars = entries.where("id <> partner").select("id", "partner").distinct().join(shuffled(shapes), "id").join(shuffled(theirs), "partner").withColumn("apart", apart).where(may_match)
     nearest = stars.groupBy("id").agg(F.min(F.struct("apart", F.xxhash64("partner").alias("p"), "partner")).alias("best"))
     pairs = near.unionAll(equal).unionAll(nearest.select("id", F.col("best.partner").alias("partner")))
     pairs = cut_lineage(pairs.select(F.least("id", "partner").alias("id"), F.greatest("id", "partner").alias("partner")).distinct())
     both = cut_lineage(texts_of(pairs.select(F.explode(F.array("id", "partner")).alias("id")).distinct()))
-    alike = pairs.join(both.withColumnRenamed("text", "own_text"), "id").join(both.select(F.col("id").alias("partner"), F.col("text").alias("their_text")), "partner")
+    alike = pairs.join(shuffled(both.withColumnRenamed("text", "own_text")), "id").join(shuffled(both.select(F.col("id").alias("partner"), F.col("text").alias("their_text"))), "partner")
     found = cut_lineage(alike.where(_similarity(shingle)("own_text", "their_text") >= similarity).select(F.col("id").alias("u"), F.col("partner").alias("v")))
     roots = cut_lineage(components(found))
 
     # buckets in several groups, and clusters of their members that may match across groups
-    rooted = cut_lineage(entries.select("code", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rooted = cut_lineage(entries.select("code", "id").join(shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id")))
     split = rooted.groupBy("code").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("code")
-    dealt = _in_block_pairs(rooted.join(split, "code"), "code", F.lit(1), BLOCK).join(shapes, "id")
+    dealt = _in_block_pairs(rooted.join(shuffled(split), "code"), "code", F.lit(1), BLOCK).join(shuffled(shapes), "id")
     keys = ["code", "first", "second"]
     dealt = dealt.select(*keys, "block", "id", "root", "size", "left", "right").repartition(*keys).sortWithinPartitions(*keys)
     clusters = cut_lineage(components(cut_lineage(dealt.mapInArrow(_clusters(similarity), "u long, v long").distinct())))
@@ -509,18 +509,18 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, i
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hasher.shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
-    members = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(shuffled(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sets = texts_of(clusters.select(F.col("node").alias("id"))).mapInArrow(sets_of, "id long, shingles binary")
-    dealt = _in_block_pairs(members.join(shapes, "id"), "cluster", F.col("size") + 1, BLOCK_SHINGLES).join(sets, "id")
+    dealt = _in_block_pairs(members.join(shuffled(shapes), "id"), "cluster", F.col("size") + 1, BLOCK_SHINGLES).join(shuffled(sets), "id")
     keys = ["cluster", "first", "second"]
     dealt = dealt.select(*keys, "block", "id", "root", "size", "left", "right", "shingles").repartition(*keys).sortWithinPartitions(*keys)
     found = found.unionAll(cut_lineage(dealt.mapInArrow(_links_across(similarity), "u long, v long")))
     roots = components(found)
-    rooted = texts.select("digest", "id", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", "id", "copies", F.coalesce("root", "id").alias("root"))
+    rooted = texts.select("digest", "id", "copies").join(shuffled(roots.withColumnRenamed("node", "id")), "id", "left").select("digest", "id", "copies", F.coalesce("root", "id").alias("root"))
     rooted = cut_lineage(rooted)
     smallest = rooted.groupBy("root").agg(F.min("id").alias("group_id"), F.sum("copies").alias("size")).where("size > 1")
-    named = rooted.join(smallest, "root").select("digest", "group_id")
-    listed = prints.select("doc_id", "digest").join(named, "digest")
+    named = rooted.join(shuffled(smallest), "root").select("digest", "group_id")
+    listed = prints.select("doc_id", "digest").join(shuffled(named), "digest")
     return listed.select("doc_id", "group_id").distinct()
 
 
@@ -528,7 +528,7 @@ def without_copies(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5
     """``docs`` with one row of each group: the one with the smallest id. Rows with a null id stay."""
     found = near_copies(docs, similarity=similarity, shingle=shingle, id_col=id_col, text_col=text_col)
     gone = cut_lineage(found.where("doc_id <> group_id").select(F.col("doc_id").alias(id_col)).distinct())
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = docs.join(shuffled(gone), id_col, "left_anti")
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col(id_col).isNotNull())
     if twice.isEmpty():
         return kept

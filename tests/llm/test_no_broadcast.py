@@ -31,3 +31,13 @@ def test_groups(spark, plans, tmp_path):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert {r.doc_id: r.component_id for r in found.collect()}[42] == 40
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_near_copies(spark, plans, monkeypatch, tmp_path):
+    """Beyond ``BROADCAST_ROWS`` ids, which this sets to none."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    kept = simhash.without_copies(texts(spark, tmp_path))
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    ids = {r.doc_id for r in kept.collect()}
+    assert 40 in ids and 42 not in ids
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
