@@ -51,12 +51,15 @@ def s_records(images: DataFrame) -> DataFrame:
 
 
 def assemble(data: DataFrame) -> DataFrame:
-    """One row an image: ``image_id, base_address, bytes``, gaps filled with 0xFF. An image is one row, as in its file."""
-    ends = data.groupBy("image_id").agg(F.min("address").alias("a"), F.max("address").alias("b"))
-    every = ends.select("image_id", F.explode(F.sequence("a", "b")).alias("address"))
-    filled = every.join(data, ["image_id", "address"], "left").select("image_id", "address", F.lpad(F.hex(F.coalesce("byte", F.lit(255))), 2, "0").alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("address", "h"))), lambda s: s["h"]), "")
-    return filled.groupBy("image_id").agg(F.min("address").alias("base_address"), F.unhex(joined).alias("bytes"))
+    """One row an image: ``image_id, base_address, bytes``, gaps filled with 0xFF. An image is one row, as in its file.
+
+    Its bytes are gathered once and gaps written between neighbours, so no address is joined.
+    """
+    held = data.where("address is not null").select("image_id", "address", F.lpad(F.hex(F.coalesce("byte", F.lit(255))), 2, "0").alias("h"))
+    images = held.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("address", "h"))).alias("held"))
+    gap = lambda s, k: s["address"] - F.get("held", k - 1)["address"] - 1
+    filled = F.transform("held", lambda s, k: F.concat(F.repeat(F.lit("FF"), F.when(k > 0, gap(s, k)).otherwise(0).cast("int")), s["h"]))
+    return images.select("image_id", F.get("held", F.lit(0))["address"].alias("base_address"), F.unhex(F.array_join(filled, "")).alias("bytes"))
 
 
 def to_rows(images: DataFrame, data: str = "bytes", base: Column | int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import verify
 from tessera.plans import registry
+from tessera.sources import images
 
 
 def compared(spark, folder, name, table, sql):
@@ -28,3 +29,11 @@ def test_long_codes(spark, tmp_path):
     """A number of more than five hexadecimal digits keeps them all."""
     rows = compared(spark, tmp_path, "S12_trouble_codes", "part", "SELECT k::BIGINT AS p_partkey, 'red ring' AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, 7 AS p_size FROM (VALUES (7), (1048575), (1048576), (4294967296)) t(k)")
     assert {r.code for r in rows} == {"00007", "FFFFF", "100000", "100000000"}
+
+
+def test_assembled_without_a_join(spark):
+    """Gaps, missing bytes and images without an id; nothing is joined, so nothing can be broadcast."""
+    rows = [(1, 5, 7), (1, 3, 1), (1, 9, None), (None, 2, 4), (2, 0, 255), (3, None, 1)]
+    found = images.assemble(spark.createDataFrame(rows, "image_id long, address long, byte int"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.image_id: (r.base_address, bytes(r.bytes)) for r in found.collect()} == {1: (3, b"\x01\xff\x07\xff\xff\xff\xff"), None: (2, b"\x04"), 2: (0, b"\xff")}
