@@ -62,15 +62,31 @@ def find_masked(data: Column, pattern: str) -> Column:
     return F.when(F.length(data) >= len(parts), F.filter(places, fits)).otherwise(F.array().cast("array<int>"))
 
 
+#: Keys whose pairs with all others are counted in one place.
+KEYS_A_BLOCK = 500
+
+
 def overlap_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """Jaccard similarity of the sets of items of each two keys that share one: ``a, b, jaccard``.
 
-    Items held by very many keys cost the square of their number; the shared items are
-    counted by an equality join and summed before the shuffle.
+    Items held by very many keys cost the square of their number. An item's keys go as one
+    array to each block of keys that holds some of them, and pairs are made and counted
+    there, so no pair is shuffled before it shares enough for the smallest set. Blocks of
+    whole numbers are ranges.
     """
     own = sets.select(F.col(key).alias("a"), item).distinct()
     size = own.groupBy("a").agg(F.count("*").alias("size"))
-    shared = own.join(own.withColumnRenamed("a", "b"), item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    low, high, keys = sets.agg(F.min(key), F.max(key), F.approx_count_distinct(key)).first()
+    blocks = -(-keys // KEYS_A_BLOCK) or 1
+    ranges = isinstance(low, int) and not isinstance(low, bool)
+    block = lambda k: (F.floor((k - low) / F.lit((high - low + 1) / blocks)) if ranges else F.pmod(F.xxhash64(k), F.lit(blocks))).cast("int")
+    held = own.where(F.col("a").isNotNull() & F.col(item).isNotNull()).groupBy(item).agg(F.collect_list("a").alias("held")).where(F.size("held") > 1)
+    dealt = held.select("held", F.explode(F.array_distinct(F.transform("held", block))).alias("block"))
+    dealt = dealt.select("block", "held", F.filter("held", lambda k: block(k) == F.col("block")).alias("mine"))
+    tasks = max(blocks, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    mine = dealt.repartition(tasks, "block").select("block", "held", F.explode("mine").alias("a"))
+    shared = mine.select("block", "a", F.explode(F.filter("held", lambda k: k > F.col("a"))).alias("b")).groupBy("block", "a", "b").agg(F.count("*").alias("both")).drop("block")
+    shared = shared.where(F.col("both") >= least * size.agg(F.min("size")).scalar() - 1e-6)
     sized = shared.join(size, "a").join(size.select(F.col("a").alias("b"), F.col("size").alias("other")), "b")
     return sized.select("a", "b", (F.col("both") / (F.col("size") + F.col("other") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 

@@ -1,7 +1,10 @@
 """Queries beside their SQL on small tables of odd rows."""
 
+import re
+
 import duckdb
 import verify
+from tessera.operators import search
 from tessera.plans import registry
 from tessera.sources import images
 
@@ -37,3 +40,21 @@ def test_assembled_without_a_join(spark):
     found = images.assemble(spark.createDataFrame(rows, "image_id long, address long, byte int"))
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.image_id: (r.base_address, bytes(r.bytes)) for r in found.collect()} == {1: (3, b"\x01\xff\x07\xff\xff\xff\xff"), None: (2, b"\x04"), 2: (0, b"\xff")}
+
+
+def test_overlap_of_many_keys(spark, monkeypatch):
+    """In blocks of any size the pairs are those of all sets, also of nulls and names."""
+    rows = [(k, k * i % 7 + k % 3) for k in range(-9, 40) for i in range(5)] * 2 + [(None, 1), (3, None), (4, None)]
+    for kind, name in (("long", lambda k: k), ("string", lambda k: k if k is None else f"k{k}")):
+        sets = {}
+        for k, i in rows:
+            sets.setdefault(name(k), set()).add(i)
+        least, own = 0.4, {k: s - {None} for k, s in sets.items() if k is not None}
+        wanted = {(a, b): len(own[a] & own[b]) / (len(sets[a]) + len(sets[b]) - len(own[a] & own[b])) for a in own for b in own if a < b and own[a] & own[b]}
+        frame = spark.createDataFrame([(name(k), i) for k, i in rows], f"k {kind}, i int")
+        for size in (7, 500):
+            monkeypatch.setattr(search, "KEYS_A_BLOCK", size)
+            found = search.overlap_pairs(frame, "k", "i", least)
+            assert not re.search(r"hashpartitioning\(a#\d+L?, b#", found._jdf.queryExecution().executedPlan().toString())  # no pair is shuffled to be counted
+            assert {(r.a, r.b): r.jaccard for r in found.collect()} == {p: j for p, j in wanted.items() if j >= least}
+    assert search.overlap_pairs(frame.where("false"), "k", "i", least).count() == 0
